@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("text",)
+_MODULES = ("text", "opinion")
 
 
 def _merged(part: str) -> dict:
