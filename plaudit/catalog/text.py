@@ -90,7 +90,8 @@ def q_ngrams(spark, sf):
     tokens = tx.clean_tokens(F.col("review_text"), tx.english_stop_words())
     grams = reviews(spark, sf).select("review_id", tokens.alias("t"))
     return (
-        grams.select("review_id", F.explode(tx.word_ngrams(F.col("t"))).alias("term"))
+        grams.select("review_id", F.explode_outer(tx.word_ngrams(F.col("t"))).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("review_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -42,15 +42,23 @@ def normalise_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(no_markup, NOT_LETTER, " "))
 
 
-def word_tokens(normalised: Column) -> Column:
-    """Words of normalised text; six contracted forms become two words each."""
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cut_contractions(normalised: Column) -> Column:
     # Plain substring tests keep the six replacements off the texts without any.
     cut, present = normalised, F.lit(False)
     for word, pair in CONTRACTIONS:
         cut = F.regexp_replace(cut, rf"\b{word}\b", pair)
         present = present | F.contains(normalised, F.lit(word))
-    cut = F.when(present, cut).otherwise(normalised)
-    return F.filter(F.split(cut, " "), lambda word: word != "")
+    return F.split(F.when(present, cut).otherwise(normalised), " ")
+
+
+def word_tokens(normalised: Column) -> Column:
+    """Words of normalised text; six contracted forms become two words each."""
+    return F.filter(bind(normalised, _cut_contractions), lambda word: word != "")
 
 
 def english_stop_words() -> list[str]:

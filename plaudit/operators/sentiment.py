@@ -107,7 +107,7 @@ def _token_rows(reviews: DataFrame, id_column: str, text_column: str, keep: Sequ
         *[text_null.alias(f"n{d}") for d in (1, 2)], F.col("_n").alias("words"), F.col("_emph").alias("emph"),
     )
     rows = F.concat(F.array(header), F.transform("_l", word_row))
-    return flagged.select(id_column, *keep, "_but", F.explode(rows).alias("r")).select(id_column, *keep, "_but", "r.*")
+    return flagged.select(id_column, *keep, "_but", F.explode_outer(rows).alias("r")).select(id_column, *keep, "_but", "r.*")
 
 
 def _any_of(word: Column, words: Sequence[str]) -> Column:
@@ -272,7 +272,7 @@ def score_polarity(
     words = F.transform(spoken_words(F.coalesce(F.col(text_column), F.lit(""))), lambda w: F.lower(w))
     # The leading null is the header row that keeps reviews without a match.
     rows = reviews.select(
-        id_column, F.posexplode(F.concat(F.array(F.lit(None).cast("string")), words)).alias("pos", "tok")
+        id_column, F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), words)).alias("pos", "tok")
     )
     names = {"polarity": "pol", "subjectivity": "sub"}
     found = lookup.join(rows, F.col("tok"), names, F.struct(F.col(id_column), F.col("pos")))
