@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("text", "opinion", "terms", "records")
+_MODULES = ("text", "opinion", "terms", "records", "learning")
 
 
 def _merged(part: str) -> dict:
