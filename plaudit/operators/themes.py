@@ -56,7 +56,11 @@ def _assign(reviews: DataFrame, config: ThemeConfig, k: int) -> Clustering | Non
         return None
     vectors = tfidf.tfidf_vectors(reviews, _tokens(config), config.max_n, vocabulary, "features")
     vectors = vectors.select("review_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    model = KMeans(k=k, seed=config.seed, maxIter=config.iterations, featuresCol="features", predictionCol="cluster").fit(vectors)
+    # The row solver suits sparse vectors and accepts fewer distinct points than k.
+    means = KMeans(
+        k=k, seed=config.seed, maxIter=config.iterations, solver="row", featuresCol="features", predictionCol="cluster"
+    )
+    model = means.fit(vectors)
     # At most k * max_features numbers.
     rows = [
         (c, float(w), t)
