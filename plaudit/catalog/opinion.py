@@ -6,6 +6,7 @@ queries use lists of its frequent words instead; the operators are the same.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from plaudit.catalog.common import Query, quoted, reviews, table
@@ -54,7 +55,9 @@ def polarity(spark):
 
 
 def scored(spark, sf):
-    return ins.scored_reviews(reviews(spark, sf), lexicon(spark), RULES, GROUPS, DEFAULT, MARKERS)
+    """Scored reviews, kept: some reports read them more than once."""
+    rows = ins.scored_reviews(reviews(spark, sf), lexicon(spark), RULES, GROUPS, DEFAULT, MARKERS)
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def q_sentiment_scores(spark, sf):

@@ -16,26 +16,23 @@ from pyspark.sql import functions as F
 _SPLIT = 2049.0
 
 
-def rounded_ratio(num: Column, den: Column, digits: int = 4) -> Column:
-    """``num / den`` (BIGINT, den > 0, num >= 0) rounded to ``digits`` <= 4 places."""
+def rounded_ratio(num: str, den: str, digits: int = 4) -> Column:
+    """``num / den`` rounded to ``digits`` <= 4 places.
+
+    Both are SQL expressions of BIGINT type, ``num`` >= 0 and ``den`` > 0.
+    """
     scale, odd, two = 10**digits, 5**digits, 2 ** (digits + 1)
-    num, den = num.cast("bigint"), den.cast("bigint")
-    doubled = num * F.lit(2 * scale).cast("bigint")
-    low = F.call_function("div", num * F.lit(scale).cast("bigint"), den)
-    rest = doubled - low * den * 2
-    quotient = num.cast("double") / den.cast("double")
-    big = quotient * _SPLIT
-    head = big - (big - quotient)
-    tail = quotient - head
-    excess = (head * float(odd) - (low * 2 + 1).cast("double") / float(two)) + tail * float(odd)
+    num, den = f"cast({num} AS BIGINT)", f"cast({den} AS BIGINT)"
+    low = f"({num} * {scale}L div {den})"
+    rest = f"({num} * {2 * scale}L - {low} * {den} * 2L)"
+    quotient = f"({num} / {den})"
+    head = f"({quotient} * {_SPLIT}D - ({quotient} * {_SPLIT}D - {quotient}))"
+    excess = f"(({head} * {odd}D - ({low} * 2L + 1L) / {two}D) + ({quotient} - {head}) * {odd}D)"
     up = (
-        F.when(rest > den, True)
-        .when(rest < den, False)
-        .when(excess > 0, True)
-        .when(excess < 0, False)
-        .otherwise(F.pmod(low, F.lit(2).cast("bigint")) == 1)
+        f"CASE WHEN {rest} > {den} THEN 1L WHEN {rest} < {den} THEN 0L "
+        f"WHEN {excess} > 0 THEN 1L WHEN {excess} < 0 THEN 0L ELSE {low} % 2L END"
     )
-    return (low + F.when(up, 1).otherwise(0)).cast("double") / float(scale)
+    return F.expr(f"({low} + {up}) / {scale}D")
 
 
 def rounded_ratio_sql(num: str, den: str, digits: int = 4) -> str:

@@ -46,10 +46,10 @@ def with_signals(df: DataFrame, text_column: str = "review_text") -> DataFrame:
         "review_length": chars.cast("double"),
         "word_count": words.cast("double"),
         "exclamation_count": F.col("_bangs").cast("double"),
-        "caps_ratio": rounded_ratio(F.col("_upper"), chars),
-        "avg_word_length": rounded_ratio(chars - F.col("_spaces"), words),
-        "punctuation_density": rounded_ratio(F.col("_punct"), chars),
-        "digit_ratio": rounded_ratio(F.col("_digits"), chars),
+        "caps_ratio": rounded_ratio("_upper", "_chars"),
+        "avg_word_length": rounded_ratio("_chars - _spaces", "_words"),
+        "punctuation_density": rounded_ratio("_punct", "_chars"),
+        "digit_ratio": rounded_ratio("_digits", "_chars"),
     }
     return counts.select(
         *keep,

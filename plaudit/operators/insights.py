@@ -82,18 +82,18 @@ def insight_summary(scored: DataFrame) -> DataFrame:
         F.coalesce(F.sum(ten_thousandths), F.lit(0)).alias("_sum"),
     )
     n = F.col("total_reviews")
-    share = F.when(n == 0, 0.0).otherwise(rounded_ratio(F.col("_neg") * 100, n, 1))
+    share = F.when(n == 0, 0.0).otherwise(rounded_ratio("_neg * 100", "total_reviews", 1))
     return sums.select(
         "total_reviews",
         F.format_string("%.1f%%", share).alias("negative_review_percentage"),
-        mean_compound(F.col("_sum"), n).alias("average_sentiment"),
+        mean_compound("_sum", "total_reviews").alias("average_sentiment"),
     )
 
 
-def mean_compound(sum_ten_thousandths: Column, n: Column) -> Column:
-    """Mean of 4-decimal scores rounded to 4 decimals, halves away from zero."""
-    size = rounded_ratio(F.abs(sum_ten_thousandths), F.greatest(n, F.lit(1)) * 10_000, 4)
-    return F.when(n == 0, 0.0).when(sum_ten_thousandths < 0, -size).otherwise(size)
+def mean_compound(total: str, n: str) -> Column:
+    """Mean of 4-decimal scores, summed in 1e-4 units, rounded to 4 decimals."""
+    size = rounded_ratio(f"abs({total})", f"greatest({n}, 1) * 10000", 4)
+    return F.when(F.col(n) == 0, 0.0).when(F.col(total) < 0, -size).otherwise(size)
 
 
 def complaint_breakdown(scored: DataFrame, order: Sequence[str] = COMPLAINT_CATEGORIES, examples: int = 2) -> DataFrame:
@@ -146,5 +146,5 @@ def sentiment_overview(scored: DataFrame) -> DataFrame:
     n = F.col("reviews")
     raw = F.when(n == 0, 0.0).otherwise(F.col("_sum") / (n * 10_000))
     return sums.select(
-        "reviews", mean_compound(F.col("_sum"), n).alias("average_compound"), sentiment_label(raw).alias("overall_label")
+        "reviews", mean_compound("_sum", "reviews").alias("average_compound"), sentiment_label(raw).alias("overall_label")
     )

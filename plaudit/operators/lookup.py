@@ -9,6 +9,8 @@ from plaudit.sources.readers import small_table
 
 MAX_ROWS = 200_000
 MAX_BYTES = 64 << 20
+# Keys that may also be named inside an expression, as a hash set.
+MAX_LISTED = 20_000
 SALTS = 16
 
 
@@ -33,9 +35,19 @@ class Lookup:
             names = [key, *self.columns]
             schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in names)
             self.df = small_table(df.sparkSession, dict(zip(names, values)), schema)
+            listed = len(unique) <= MAX_LISTED and all(isinstance(k, str) for k in unique)
+            self.listed = sorted(unique) if listed else None
         else:
             merged = [F.max(c).alias(c) for c in self.columns] or [F.count(F.lit(1)).alias("_n")]
             self.df = df.na.drop(subset=[key]).groupBy(key).agg(*merged)
+            self.listed = None
+
+    def holds(self, name: str) -> str:
+        """SQL test ``name IN (keys)`` for a listed lookup; false for null."""
+        if not self.listed:
+            return "false"
+        words = ", ".join("'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in self.listed)
+        return f"coalesce({name} IN ({words}), false)"
 
     def join(
         self, many: DataFrame, on: Column, rename: dict[str, str], salt: Column, how: str = "left"

@@ -30,8 +30,8 @@ def result_summary(scored: DataFrame) -> DataFrame:
     raw = F.when(n == 0, 0.0).otherwise(F.col("_comp") / (n * 10_000))
     return sums.select(
         "total", "genuine", "fake",
-        mean_compound(F.col("_conf"), n).alias("mean_confidence"),
-        mean_compound(F.col("_comp"), n).alias("mean_compound"),
+        mean_compound("_conf", "total").alias("mean_confidence"),
+        mean_compound("_comp", "total").alias("mean_compound"),
         sentiment_label(raw).alias("sentiment"),
     )
 
@@ -49,8 +49,7 @@ def confidence_histogram(scored: DataFrame, bins: int = 20) -> DataFrame:
 
 def _two_decimals(name: str) -> Column:
     """A four-decimal value printed with two."""
-    units = F.round(F.col(name) * 10_000).cast("bigint")
-    return F.format_string("%.2f", rounded_ratio(units, F.lit(10_000), 2))
+    return F.format_string("%.2f", rounded_ratio(f"round({name} * 10000)", "10000", 2))
 
 
 def report_rows(scored: DataFrame, rows: int = REPORT_ROWS) -> DataFrame:

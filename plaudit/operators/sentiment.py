@@ -11,8 +11,8 @@ makes the result independent of row order.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,25 +58,29 @@ def spoken_words(text: Column) -> Column:
     words = F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
 
     def strip(word: Column) -> Column:
-        bare = F.regexp_replace(word, r"^\p{Punct}+|\p{Punct}+$", "")
+        bare = F.btrim(word, F.lit(string.punctuation))
         return F.when(F.length(bare) > 2, bare).otherwise(word)
 
     return F.transform(words, strip)
 
 
-def _is_upper(word: Column) -> Column:
-    return (word == F.upper(word)) & (word != F.lower(word))
-
+def _token_rows(
+    reviews: DataFrame, id_column: str, text_column: str, keep: Sequence[str], rules: SentimentRules, lookup: Lookup
+) -> DataFrame:
+    """One row per word (``pos`` >= 0) and one header row (``pos`` = -1) per review.
 
-def _token_rows(reviews: DataFrame, id_column: str, text_column: str, keep: Sequence[str], rules) -> DataFrame:
-    """One row per word (``pos`` >= 0) and one header row (``pos`` = -1) per review."""
+    Words outside a listed lexicon are left out before rows are made of them.
+    """
     text = F.when(is_blank(F.col(text_column)), "").otherwise(F.col(text_column))
     words = reviews.select(id_column, *keep, text.alias("_t"), spoken_words(text).alias("_w"))
-    lower = words.select(
-        id_column, *keep, "_t", "_w",
-        F.transform("_w", lambda w: F.lower(w)).alias("_l"),
-        F.transform("_w", _is_upper).alias("_u"),
+    lower = words.select(id_column, *keep, "_t", "_w", F.transform("_w", lambda w: F.lower(w)).alias("_l")).select(
+        id_column, *keep, "_t", "_w", "_l",
+        F.zip_with("_w", "_l", lambda w, low: (w != low) & (w == F.upper(w))).alias("_u"),
     )
+    places = F.sequence(F.lit(0), F.size("_l") - 1)
+    if lookup.listed is not None:
+        places = F.expr(f"filter(transform(_l, (w, i) -> IF({lookup.holds('w')}, i, NULL)), i -> i IS NOT NULL)")
+    places = F.when(F.size("_l") > 0, places).otherwise(F.array().cast("array<int>"))
     n_upper = F.size(F.filter("_u", lambda u: u))
     bangs = F.length("_t") - F.length(F.replace(F.col("_t"), F.lit("!"), F.lit("")))
     asks = F.length("_t") - F.length(F.replace(F.col("_t"), F.lit("?"), F.lit("")))
@@ -84,19 +88,19 @@ def _token_rows(reviews: DataFrame, id_column: str, text_column: str, keep: Sequ
         asks > 3, rules.question_many_micro
     ).when(asks > 1, asks * rules.question_micro).otherwise(0)
     flagged = lower.select(
-        id_column, *keep, "_l", "_u",
+        id_column, *keep, "_l", "_u", places.alias("_at"),
         F.size("_w").cast("bigint").alias("_n"),
         ((n_upper > 0) & (n_upper < F.size("_w"))).alias("_mixed"),
         (F.array_position("_l", F.lit(rules.but_word)) - 1).alias("_but"),
         emphasis.cast("bigint").alias("_emph"),
     )
 
-    def word_row(word: Column, i: Column) -> Column:
+    def word_row(i: Column) -> Column:
         before = [F.get("_l", i - d).alias(f"p{d}") for d in (1, 2, 3)]
         shout = [(F.coalesce(F.get("_u", i - d), F.lit(False)) & F.col("_mixed")).alias(f"u{d}") for d in (0, 1, 2, 3)]
         after = [F.get("_l", i + d).alias(f"n{d}") for d in (1, 2)]
         return F.struct(
-            i.cast("bigint").alias("pos"), word.alias("tok"), *before, *shout, *after,
+            i.cast("bigint").alias("pos"), F.get("_l", i).alias("tok"), *before, *shout, *after,
             F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("emph"),
         )
 
@@ -106,97 +110,88 @@ def _token_rows(reviews: DataFrame, id_column: str, text_column: str, keep: Sequ
         *[text_null.alias(f"p{d}") for d in (1, 2, 3)], *[no.alias(f"u{d}") for d in (0, 1, 2, 3)],
         *[text_null.alias(f"n{d}") for d in (1, 2)], F.col("_n").alias("words"), F.col("_emph").alias("emph"),
     )
-    rows = F.concat(F.array(header), F.transform("_l", word_row))
+    rows = F.concat(F.array(header), F.transform("_at", word_row))
     return flagged.select(id_column, *keep, "_but", F.explode_outer(rows).alias("r")).select(id_column, *keep, "_but", "r.*")
 
 
-def _any_of(word: Column, words: Sequence[str]) -> Column:
-    return F.coalesce(word.isin(list(words)), F.lit(False)) if words else F.lit(False)
+def sql_words(words: Sequence[str]) -> str:
+    """A comma list of SQL string literals."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
 
 
-def _is(word: Column, value: str) -> Column:
-    return F.coalesce(word == value, F.lit(False))
+def _any_of(name: str, words: Sequence[str]) -> str:
+    return f"coalesce({name} IN ({sql_words(words)}), false)" if words else "false"
 
 
 def _word_scores(hits: DataFrame, rules: SentimentRules) -> DataFrame:
-    """Apply the modifier rules to hit rows; adds ``micro``."""
-    c = F.col
-    sign = lambda v, by: F.when(v > 0, by).otherwise(-by)
-    no_before = (
-        _is(c("p1"), rules.no_word) | _is(c("p2"), rules.no_word)
-        | (_is(c("p3"), rules.no_word) & _any_of(c("p1"), rules.or_words))
-    )
-    start = (
-        F.when(no_before, c("valence") * rules.negate_by)
-        .when(_is(c("tok"), rules.no_word) & c("k_n1").isNotNull(), 0.0)
-        .otherwise(c("valence"))
-    )
-    df = hits.withColumn("v", start)
-    df = df.withColumn("v", F.when(c("u0"), c("v") + sign(c("v"), rules.caps_by)).otherwise(c("v")))
-
-    def negated(word: Column) -> Column:
-        return _any_of(word, rules.negations) | F.coalesce(F.contains(word, F.lit(rules.negation_suffix)), F.lit(False))
-
-    never, so = rules.never_word, rules.so_words
-    for d, damp in zip((1, 2, 3), rules.distance_damp):
-        word = c(f"p{d}")
-        active = word.isNotNull() & c(f"k_p{d}").isNull()
-        base = F.when(_any_of(word, rules.boosters), rules.raise_by).when(
-            _any_of(word, rules.dampers), -rules.raise_by
+    """Apply the modifier rules to hit rows one after the other; adds ``micro``.
+
+    The rules are SQL text: each is parsed in one call, where a Column would
+    take one call per word of the lists.
+    """
+    r = rules
+
+    def emphasis(amount: str, upper: str) -> str:
+        """``amount`` moved away from zero by the capitals bonus if ``upper``."""
+        return f"({amount} + IF({upper}, IF(v > 0, {r.caps_by}D, -{r.caps_by}D), 0D))"
+
+    def by_modifier(name: str) -> str:
+        return f"CASE WHEN {_any_of(name, r.boosters)} THEN {r.raise_by}D WHEN {_any_of(name, r.dampers)} THEN -{r.raise_by}D END"
+
+    def negated(name: str) -> str:
+        return f"({_any_of(name, r.negations)} OR coalesce(contains({name}, '{sql_words([r.negation_suffix])[1:-1]}'), false))"
+
+    no, never, without, doubt = [r.no_word], [r.never_word], [r.without_word], [r.doubt_word]
+    steps = [
+        f"CASE WHEN {_any_of('p1', no)} OR {_any_of('p2', no)} OR ({_any_of('p3', no)} AND {_any_of('p1', r.or_words)}) "
+        f"THEN valence * {r.negate_by}D WHEN {_any_of('tok', no)} AND k_n1 THEN 0D ELSE valence END",
+        f"IF(u0, {emphasis('v', 'true')}, v)",
+    ]
+    # "so" right before the hit counts at distance 3 even without "never".
+    stronger = {
+        1: "false",
+        2: f"({_any_of('p2', never)} AND {_any_of('p1', r.so_words)})",
+        3: f"(({_any_of('p3', never)} AND {_any_of('p2', r.so_words)}) OR {_any_of('p1', r.so_words)})",
+    }
+    kept = {
+        1: "false",
+        2: f"({_any_of('p2', without)} AND {_any_of('p1', doubt)})",
+        3: f"({_any_of('p3', without)} AND ({_any_of('p2', doubt)} OR {_any_of('p1', doubt)}))",
+    }
+    for d, damp in zip((1, 2, 3), r.distance_damp):
+        name, active = f"p{d}", f"(p{d} IS NOT NULL AND NOT k_p{d})"
+        toward = f"IF(v < 0, -m{d}, m{d})"
+        steps.append(f"IF({active} AND m{d} IS NOT NULL, v + {emphasis(toward, f'u{d}')} * {damp}D, v)")
+        steps.append(
+            f"CASE WHEN NOT {active} THEN v WHEN {stronger[d]} THEN v * {r.never_so_by}D WHEN {kept[d]} THEN v "
+            f"WHEN {negated(name)} THEN v * {r.negate_by}D ELSE v END"
         )
-        toward = F.when(c("v") < 0, -base).otherwise(base)
-        shouted = F.when(c(f"u{d}"), toward + sign(c("v"), rules.caps_by)).otherwise(toward)
-        df = df.withColumn("v", F.when(active & base.isNotNull(), c("v") + shouted * damp).otherwise(c("v")))
-        if d == 1:
-            by = F.when(negated(word), rules.negate_by)
-        elif d == 2:
-            by = (
-                F.when(_is(word, never) & _any_of(c("p1"), so), rules.never_so_by)
-                .when(_is(word, rules.without_word) & _is(c("p1"), rules.doubt_word), 1.0)
-                .when(negated(word), rules.negate_by)
-            )
-        else:
-            # "so" right before the hit counts here even without "never".
-            by = (
-                F.when((_is(word, never) & _any_of(c("p2"), so)) | _any_of(c("p1"), so), rules.never_so_by)
-                .when(_is(word, rules.without_word)
-                      & (_is(c("p2"), rules.doubt_word) | _is(c("p1"), rules.doubt_word)), 1.0)
-                .when(negated(word), rules.negate_by)
-            )
-        df = df.withColumn("v", F.when(active & by.isNotNull(), c("v") * by).otherwise(c("v")))
-        if d == 3:
-            df = df.withColumn("v", F.when(active, _idioms(c("v"), rules)).otherwise(c("v")))
-    least = _is(c("p1"), rules.least_word) & c("k_p1").isNull() & ~_any_of(c("p2"), rules.least_guards)
-    df = df.withColumn("v", F.when(least, c("v") * rules.negate_by).otherwise(c("v")))
-    df = df.withColumn(
-        "v",
-        F.when((c("_but") >= 0) & (c("pos") < c("_but")), c("v") * rules.before_but)
-        .when((c("_but") >= 0) & (c("pos") > c("_but")), c("v") * rules.after_but)
-        .otherwise(c("v")),
+    steps += _idioms(rules, by_modifier)
+    steps.append(
+        f"IF({_any_of('p1', [r.least_word])} AND NOT k_p1 AND NOT {_any_of('p2', r.least_guards)}, v * {r.negate_by}D, v)"
+    )
+    steps.append(
+        f"CASE WHEN _but >= 0 AND pos < _but THEN v * {r.before_but}D WHEN _but >= 0 AND pos > _but THEN v * {r.after_but}D ELSE v END"
     )
-    return df.withColumn("micro", F.round(c("v") * float(MICRO)).cast("bigint"))
+    df = hits.withColumns({f"m{d}": F.expr(by_modifier(f"p{d}")) for d in (1, 2, 3)})
+    for step in steps:
+        df = df.withColumn("v", F.expr(step))
+    return df.withColumn("micro", F.expr(f"cast(round(v * {float(MICRO)}D) AS BIGINT)"))
 
 
-def _idioms(value: Column, rules: SentimentRules) -> Column:
+def _idioms(rules: SentimentRules, by_modifier) -> list[str]:
     """Fixed phrases around the word replace its score; two-word modifiers add to it."""
-    c = F.col
-    join = lambda *names: F.concat_ws(" ", *[c(n) for n in names])
-    phrases = dict(rules.idioms)
-    if phrases:
-        value_of = lambda text: reduce(
-            lambda case, item: case.when(text == item[0], item[1]), phrases.items(), F.when(F.lit(False), 0.0)
-        )
-        behind = [
-            join("p1", "tok"), join("p2", "p1", "tok"), join("p2", "p1"), join("p3", "p2", "p1"), join("p3", "p2"),
-        ]
-        ahead2 = F.when(c("n2").isNotNull(), value_of(join("tok", "n1", "n2")))
-        ahead1 = F.when(c("n1").isNotNull(), value_of(join("tok", "n1")))
-        value = F.coalesce(ahead2, ahead1, *[value_of(text) for text in behind], value)
-    for text in (join("p3", "p2", "p1"), join("p3", "p2"), join("p2", "p1")):
-        value = value + F.when(_any_of(text, rules.boosters), rules.raise_by).when(
-            _any_of(text, rules.dampers), -rules.raise_by
-        ).otherwise(0.0)
-    return value
+    active, steps = "(p3 IS NOT NULL AND NOT k_p3)", []
+    if rules.idioms:
+        whens = " ".join(f"WHEN {sql_words([text])} THEN {value}D" for text, value in rules.idioms)
+        phrases = ("tok n1 n2", "tok n1", "p1 tok", "p2 p1 tok", "p2 p1", "p3 p2 p1", "p3 p2")
+        # concat, unlike concat_ws, is null when a neighbour is missing.
+        texts = ["concat(" + ", ' ', ".join(names.split()) + ")" for names in phrases]
+        found = ", ".join(f"CASE {text} {whens} END" for text in texts)
+        steps.append(f"IF({active}, coalesce({found}, v), v)")
+    for names in ("p3, ' ', p2, ' ', p1", "p3, ' ', p2", "p2, ' ', p1"):
+        steps.append(f"IF({active}, v + coalesce({by_modifier(f'concat({names})')}, 0D), v)")
+    return steps
 
 
 def score_sentiment(
@@ -213,14 +208,19 @@ def score_sentiment(
     they become grouping keys, so long texts are better joined back by id.
     """
     lookup = Lookup(lexicon if lexicon is not None else seed_lexicon(reviews.sparkSession), "token")
-    tokens = _token_rows(reviews, id_column, text_column, keep, rules)
+    tokens = _token_rows(reviews, id_column, text_column, keep, rules, lookup)
     salt = F.struct(F.col(id_column), F.col("pos"))
     found = lookup.join(tokens, F.col("tok"), {"valence": "valence"}, salt)
-    modifier = _any_of(F.col("tok"), rules.boosters) | _any_of(F.col("tok"), rules.dampers)
-    kind_of = _is(F.col("tok"), rules.kind_word) & _is(F.col("n1"), rules.of_word)
-    hits = found.filter((F.col("pos") < 0) | (F.col("valence").isNotNull() & ~modifier & ~kind_of))
-    for name in ("p1", "p2", "p3", "n1"):
-        hits = lookup.join(hits, F.col(name), {"token": f"k_{name}"}, salt)
+    modifier = _any_of("tok", [*rules.boosters, *rules.dampers])
+    kind_of = f"({_any_of('tok', [rules.kind_word])} AND {_any_of('n1', [rules.of_word])})"
+    hits = found.filter(f"pos < 0 OR (valence IS NOT NULL AND NOT {modifier} AND NOT {kind_of})")
+    around = ("p1", "p2", "p3", "n1")
+    if lookup.listed is not None:
+        hits = hits.withColumns({f"k_{name}": F.expr(lookup.holds(name)) for name in around})
+    else:
+        for name in around:
+            hits = lookup.join(hits, F.col(name), {"token": f"_f_{name}"}, salt)
+        hits = hits.withColumns({f"k_{name}": F.col(f"_f_{name}").isNotNull() for name in around})
     micro = F.col("micro")
     sums = (
         _word_scores(hits, rules)
@@ -247,9 +247,8 @@ def _totals(sums: DataFrame, keys: Sequence[str], rules: SentimentRules) -> Data
         F.when(c("_p") < c("_m"), c("_m") + c("_e")).otherwise(c("_m")).alias("_neg"),
         ((c("_n") - c("_h")) * MICRO).alias("_neu"),
     )
-    all_parts = c("_pos") + c("_neg") + c("_neu")
     empty = c("_n") == 0
-    share = lambda name: rounded_ratio(c(name), all_parts, 3)
+    share = lambda name: rounded_ratio(name, "_pos + _neg + _neu", 3)
     raw = c("_x") / F.sqrt(c("_x") * c("_x") + rules.normaliser)
     scored = parts.select(
         *keys,
@@ -271,8 +270,11 @@ def score_polarity(
     lookup = Lookup(table if table is not None else seed_polarity(reviews.sparkSession), "token")
     words = F.transform(spoken_words(F.coalesce(F.col(text_column), F.lit(""))), lambda w: F.lower(w))
     # The leading null is the header row that keeps reviews without a match.
-    rows = reviews.select(
-        id_column, F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), words)).alias("pos", "tok")
+    listed = reviews.select(id_column, words.alias("_l"))
+    if lookup.listed is not None:
+        listed = listed.withColumn("_l", F.expr(f"filter(_l, w -> {lookup.holds('w')})"))
+    rows = listed.select(
+        id_column, F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), F.col("_l"))).alias("pos", "tok")
     )
     names = {"polarity": "pol", "subjectivity": "sub"}
     found = lookup.join(rows, F.col("tok"), names, F.struct(F.col(id_column), F.col("pos")))

@@ -4,7 +4,6 @@ import math
 
 import pytest
 
-from plaudit.functions.rounding import rounded_ratio  # noqa: F401
 from plaudit.operators import insights as ins
 from plaudit.operators import lookup
 from plaudit.operators.sentiment import score_polarity, score_sentiment, sentiment_columns

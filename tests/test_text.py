@@ -33,7 +33,7 @@ def table(spark, texts):
 def test_ratio_rounds_like_python(spark):
     pairs = [(k, n) for n in range(1, 700) for k in range(0, n + 1, 1 if n % 32 == 0 else 7)]
     df = small_table(spark, {"k": [p[0] for p in pairs], "n": [p[1] for p in pairs]}, "k bigint, n bigint")
-    rows = df.select("k", "n", rounded_ratio(F.col("k"), F.col("n")).alias("x"), rounded_ratio(F.col("k"), F.col("n"), 3).alias("y"))
+    rows = df.select("k", "n", rounded_ratio("k", "n").alias("x"), rounded_ratio("k", "n", 3).alias("y"))
     for row in rows.collect():
         assert row["x"] == round(row["k"] / row["n"], 4)
         assert row["y"] == round(row["k"] / row["n"], 3)
