@@ -179,7 +179,26 @@ def oracle_sql() -> dict[str, str]:
     tokens = sql_clean_tokens("text", english_stop_words())
     words = f"""
       SELECT doc_id, source, unnest(list_filter({tokens}, lambda w: length(w) > 1)) AS term FROM documents"""
+    from plaudit.catalog.text import signals_sql, sql_grams
+    from plaudit.rules import SIGNAL_COLUMNS
+
+    corpus = "SELECT d.doc_id AS review_id, d.text AS review_text FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
+    signals = signals_sql(f"SELECT review_id, review_text AS t FROM ({corpus})", "review_id")
+    cells = " UNION ALL ".join(
+        f"SELECT review_id, (SELECT count(*) FROM vocab) + {i} AS idx, {c} AS value FROM signals"
+        for i, c in enumerate(SIGNAL_COLUMNS)
+    )
+    features = f"""
+      WITH tf AS (SELECT review_id, term, count(*) AS tf FROM ({sql_grams(corpus)}) GROUP BY ALL),
+      vocab AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS idx FROM (
+        SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT {SMALL.max_features})),
+      raw AS (SELECT review_id, idx, (1 + ln(tf)) * (ln(((SELECT count(*) FROM ({corpus})) + 1)::DOUBLE / (df + 1)::DOUBLE) + 1) AS w
+              FROM tf JOIN vocab USING (term)),
+      signals AS ({signals})
+      SELECT review_id, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS value FROM raw
+      UNION ALL SELECT review_id, idx, round(value, 6) FROM ({cells}) WHERE value <> 0"""
     return {
+        "q_features": features,
         "q_neighbours": """
           SELECT vec_id, rank, neighbour, distance FROM (
             SELECT a.vec_id, b.vec_id AS neighbour, round(list_distance(a.e, b.e), 6) AS distance,

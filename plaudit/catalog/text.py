@@ -21,7 +21,7 @@ from plaudit.functions.signals import DIGIT_CLASS, with_signals
 from plaudit.operators.preprocess import process_reviews
 from plaudit.rules import SIGNAL_COLUMNS
 
-def _signals_sql(source: str, key: str, extra: str = "") -> str:
+def signals_sql(source: str, key: str, extra: str = "") -> str:
     blank = sql_is_blank("t")
     chars, words = "length(t)::BIGINT", sql_words_count("t")
     counts = f"""
@@ -135,9 +135,9 @@ def oracle_sql() -> dict[str, str]:
         "q_word_tokens": f"""
           SELECT conv_id, turn, array_to_string(w, '|') AS words, len(w)::BIGINT AS n_words
           FROM (SELECT conv_id, turn, {sql_words(sql_normalise('text'))} AS w FROM conversations)""",
-        "q_signals": _signals_sql("SELECT doc_id AS review_id, text AS t FROM documents", "review_id"),
-        "q_blank_defaults": _signals_sql(blanked, "review_id"),
-        "q_process_table": _signals_sql(
+        "q_signals": signals_sql("SELECT doc_id AS review_id, text AS t FROM documents", "review_id"),
+        "q_blank_defaults": signals_sql(blanked, "review_id"),
+        "q_process_table": signals_sql(
             "SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user'",
             "conv_id, turn",
             f"array_to_string({sql_clean_tokens('t', stop)}, ' ') AS cleaned_review,",
