@@ -89,7 +89,6 @@ def sentiment_sql(source: str, lexicon: dict[str, float], r: SentimentRules) ->
     chain = f"SELECT *, {start} AS v FROM hits"
     for step in steps:
         chain = f"SELECT * REPLACE ({step} AS v) FROM ({chain})"
-    size = "(p + m + (n - h) * 1000000)"
     pos, neg = "(p + CASE WHEN p > m THEN e ELSE 0 END)", "(m + CASE WHEN p < m THEN e ELSE 0 END)"
     size = f"({pos} + {neg} + (n - h) * 1000000)"
     x = "((s + CASE WHEN s > 0 THEN e WHEN s < 0 THEN -e ELSE 0 END) / 1e6)"
