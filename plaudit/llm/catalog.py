@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plaudit.llm import toxicity
+from plaudit.llm import decontaminate, mixing, toxicity
+
+SOURCE_WEIGHTS, MAX_REPEATS, MIX_SEED = (5, 2, 1), 3, 42
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, model)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = mixing.document_sizes(table(spark, sf_dir, "documents"))
+    plan = mixing.plan_mix(sizes, SOURCE_WEIGHTS, MAX_REPEATS, MIX_SEED)
+    return mixing.mix_sizes(sizes, plan, MIX_SEED)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op")}
 

@@ -212,3 +212,17 @@ def lower_codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         rows = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes + 1)
         yield first, out, np.concatenate((rows, rows[-1:]))
         first = last
+
+
+BROADCAST_ROWS = 100_000
+
+
+def attach(many: DataFrame, few: DataFrame, on: Column, how: str = "left") -> DataFrame:
+    """Join a table of parameters: broadcast only if its rows, counted here, are few.
+
+    Beyond ``BROADCAST_ROWS`` it is an ordinary shuffle join, whose hot keys
+    adaptive execution splits.
+    """
+    if len(few.select(F.lit(1)).limit(BROADCAST_ROWS + 1).toPandas()) <= BROADCAST_ROWS:
+        few = F.broadcast(few)
+    return many.join(few, on, how)
