@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plaudit.llm import decontaminate, mixing, toxicity
+from plaudit.llm import decontaminate, mixing, order, toxicity
+from plaudit.llm.common import new_stage
 
+VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 SOURCE_WEIGHTS, MAX_REPEATS, MIX_SEED = (5, 2, 1), 3, 42
 
 
@@ -13,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ordered(documents: DataFrame) -> DataFrame:
+    """Shards written for all documents, then read back slot by slot; tokens as a digest."""
+    spark, config = documents.sparkSession, order.OrderConfig(VOCABULARY)
+    path = new_stage(spark)
+    order.write_shards(documents, path, config)
+    rows = order.read_slots(spark, path, config)
+    return rows.withColumn("tokens_md5", F.md5("tokens")).drop("tokens")
+
+
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))

@@ -32,11 +32,16 @@ def stage(df: DataFrame, codec: str = "zstd") -> DataFrame:
     Survives lost executors, and later readers scan only their columns.
     ``drop_stages`` deletes what a session has staged.
     """
-    spark = df.sparkSession
+    path = new_stage(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_stage(spark: SparkSession) -> str:
+    """An unused path in the shared folder, deleted by ``drop_stages``."""
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     _stages.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def drop_stages(spark: SparkSession) -> None:
