@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import decontaminate, jaccard, mixing, order, toxicity
+from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, toxicity
 from plaudit.llm.common import new_stage
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -51,9 +51,52 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_host_rules": _HOST_RULES}
+
+
+_HOST_RULES = r"""
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, list_slice(w, i, i + 4) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS at FROM twice) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM words),
+base AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
+ruled AS (
+  SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeated FROM base),
+failed AS (SELECT *, short OR repeated AS base_failed FROM ruled),
+hosts AS (
+  SELECT source, count(*) AS n, count_if(short) AS a, count_if(repeated) AS b, count_if(base_failed) AS c FROM failed GROUP BY source),
+moments AS (
+  SELECT avg(a / n) AS ma, avg(b / n) AS mb, avg(c / n) AS mc,
+         var_pop(a / n) AS va, var_pop(b / n) AS vb, var_pop(c / n) AS vc FROM hosts),
+prior AS (
+  SELECT ma, mb, mc,
+    CASE WHEN va > 0 THEN least(greatest(ma * (1 - ma) / va - 1, 2), 10000) ELSE 10000 END AS wa,
+    CASE WHEN vb > 0 THEN least(greatest(mb * (1 - mb) / vb - 1, 2), 10000) ELSE 10000 END AS wb,
+    CASE WHEN vc > 0 THEN least(greatest(mc * (1 - mc) / vc - 1, 2), 10000) ELSE 10000 END AS wc FROM moments),
+rates AS (
+  SELECT source, (a + ma * wa) / (n + wa) AS ra, (b + mb * wb) / (n + wb) AS rb, (c + mc * wc) / (n + wc) AS rc
+  FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND greatest(ra, rb, rc) <= 0.5 AS kept, round(rc, 6) AS host_rate
+FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source
+"""

@@ -228,6 +228,6 @@ def attach(many: DataFrame, few: DataFrame, on: Column, how: str = "left") -> Da
     Beyond ``BROADCAST_ROWS`` it is an ordinary shuffle join, whose hot keys
     adaptive execution splits.
     """
-    if len(few.select(F.lit(1)).limit(BROADCAST_ROWS + 1).toPandas()) <= BROADCAST_ROWS:
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         few = F.broadcast(few)
     return many.join(few, on, how)
