@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, toxicity
-from plaudit.llm.common import new_stage
+from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, secrets, toxicity
+from plaudit.llm.common import new_stage, stage
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 SOURCE_WEIGHTS, MAX_REPEATS, MIX_SEED = (5, 2, 1), 3, 42
@@ -37,6 +37,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents, model)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = secrets.paths_of(table(spark, sf_dir, "documents"))
+    ledger = stage(secrets.scan_unseen(paths, None, secrets.VERSIONS))
+    return secrets.report(secrets.findings_of(paths, ledger))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.document_sizes(table(spark, sf_dir, "documents"))
     plan = mixing.plan_mix(sizes, SOURCE_WEIGHTS, MAX_REPEATS, MIX_SEED)
