@@ -37,7 +37,6 @@ WINDOW = 10
 RAREST = 3
 BLOCK_WORDS = 400_000
 BROADCAST_BYTES = 32 << 20
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # Bytes between words become blanks, A-Z become a-z; bytes from 0x80 on are letters.
 _TABLE = bytes(
@@ -257,12 +256,18 @@ def _keyed(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"text_key": F.xxhash64(text), "text_md5": F.md5(text)})
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    def make():
+        return lambda batch: {"n_words": pa.array([len(words_of(text)) for text in _texts(batch.column("text"))], pa.int64())}
+
+    return map_columns(docs, make, docs.columns, "n_words long")
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     docs = columns_of(documents, "doc_id", "text")
     hits = window_hits(docs.select("text", F.xxhash64("text").alias("text_key")), benchmark, window)
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    narrow = _keyed(docs, "text").select("doc_id", "text_key", "text_md5", words.alias("n_words"))
+    narrow = _counted(_keyed(docs, "text")).drop("text")
     size = 12 * F.size("spans") + F.length(F.array_join("items", ",")) + 128
     joined = narrow.join(_few(hits, size), ["text_key", "text_md5"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
