@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, secrets, toxicity
+from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, pages, secrets, toxicity
 from plaudit.llm.common import new_stage, stage
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -43,6 +43,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.findings_of(paths, ledger))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.document_sizes(table(spark, sf_dir, "documents"))
     plan = mixing.plan_mix(sizes, SOURCE_WEIGHTS, MAX_REPEATS, MIX_SEED)
