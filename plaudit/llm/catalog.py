@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, pages, secrets, toxicity
+from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, pages, secrets, toxicity, urlfilter
 from plaudit.llm.common import new_stage, stage
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -61,6 +61,45 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a capture of its url, fetched on a day that follows from its id."""
+    fetched = F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod(F.col("page_id") * 7919, F.lit(730)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("day"))
+
+
+def list_events(pages_table: DataFrame) -> DataFrame:
+    """A dated block list over the hosts and folders that the pages have.
+
+    Numbers of md5 digests choose the entries and their days: a host is on ``tracking``
+    for two spells or on ``spam`` for good, a folder is on ``section`` for one spell.
+    """
+    host, path = urlfilter.host_and_path(F.col("url"))
+    seen = pages_table.select(host.alias("host"), F.regexp_extract(path, "^(/[^/]+/)", 1).alias("folder"))
+    hosts = seen.select(F.lit("domain").alias("kind"), F.col("host").alias("pattern")).filter("pattern <> ''").distinct()
+    folders = seen.filter("folder <> ''").select(F.lit("prefix").alias("kind"), F.concat("host", "folder").alias("pattern")).distinct()
+    entries = hosts.unionByName(folders).withColumn("n", F.conv(F.substring(F.md5("pattern"), 1, 7), 16, 10).cast("long"))
+
+    def events(name, *turns):
+        first = F.col("n") % 300
+        return F.array(*[F.struct(F.lit(name).alias("list"), (first + after).alias("after"), F.lit(action).alias("action")) for after, action in turns])
+
+    chosen = (
+        F.when(F.col("kind") == "prefix", F.when(F.col("n") % 3 == 0, events("section", (0, "add"), (200, "remove"))))
+        .when(F.col("n") % 4 == 0, events("tracking", (0, "add"), (90, "remove"), (150, "add"), (300, "remove")))
+        .when(F.col("n") % 4 == 1, events("spam", (30, "add"), (60, "add")))
+    )
+    rows = entries.select("kind", "pattern", F.explode(chosen).alias("e"))
+    return rows.select(
+        "e.list", "kind", "pattern", F.date_add(F.to_date(F.lit("2024-01-01")), F.col("e.after").cast("int")).alias("day"), "e.action"
+    )
+
+
+def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    intervals = urlfilter.intervals_of(list_events(table(spark, sf_dir, "pages")))
+    judged = urlfilter.judge_captures(captures(spark, sf_dir), intervals)
+    return judged.select("page_id", "url", "day", "blocked", F.array_join("lists", ",").alias("lists"), "since")
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
@@ -70,7 +109,33 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_host_rules": _HOST_RULES}
+    return {"op8_url_lists": _URL_LISTS, "op10_host_rules": _HOST_RULES}
+
+
+_URL_LISTS = r"""
+WITH seen AS (
+  SELECT page_id, url, DATE '2024-01-01' + ((page_id * 7919) % 730)::INTEGER AS day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)', 2) AS path FROM pages),
+entries AS (
+  SELECT DISTINCT 'domain' AS kind, host AS pattern FROM seen WHERE host <> ''
+  UNION ALL
+  SELECT DISTINCT 'prefix', host || regexp_extract(path, '^(/[^/]+/)', 1) FROM seen WHERE regexp_extract(path, '^(/[^/]+/)', 1) <> ''),
+numbered AS (SELECT *, ('0x' || substr(md5(pattern), 1, 7))::BIGINT AS n FROM entries),
+spells AS (
+  SELECT 'section' AS list, kind, pattern, n % 300 AS a, n % 300 + 200 AS b FROM numbered WHERE kind = 'prefix' AND n % 3 = 0
+  UNION ALL SELECT 'tracking', kind, pattern, n % 300, n % 300 + 90 FROM numbered WHERE kind = 'domain' AND n % 4 = 0
+  UNION ALL SELECT 'tracking', kind, pattern, n % 300 + 150, n % 300 + 300 FROM numbered WHERE kind = 'domain' AND n % 4 = 0
+  UNION ALL SELECT 'spam', kind, pattern, n % 300 + 30, NULL FROM numbered WHERE kind = 'domain' AND n % 4 = 1),
+dated AS (
+  SELECT list, kind, pattern, DATE '2024-01-01' + a::INTEGER AS a, DATE '2024-01-01' + b::INTEGER AS b FROM spells),
+met AS (
+  SELECT page_id, list, a FROM seen JOIN dated ON day >= a AND (b IS NULL OR day < b) AND
+    CASE kind WHEN 'domain' THEN host = pattern OR ends_with(host, '.' || pattern) ELSE starts_with(host || path, pattern) END)
+SELECT s.page_id, s.url, s.day, count(m.list) > 0 AS blocked,
+       coalesce(string_agg(DISTINCT m.list, ',' ORDER BY m.list), '') AS lists, min(m.a) AS since
+FROM seen s LEFT JOIN met m ON s.page_id = m.page_id GROUP BY s.page_id, s.url, s.day
+"""
 
 
 _HOST_RULES = r"""
