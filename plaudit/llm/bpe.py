@@ -117,6 +117,27 @@ class Encoder:
 
     def encode(self, column: pa.Array):
         """Yields (token numbers, bounds) for some rows at a time; null is an empty text."""
+        for codes, rows in self._chunks(column):
+            starts, piece = self._pieces(codes, rows)
+            size = self._first[piece + 1] - self._first[piece]
+            upto = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(size)))
+            tokens = self._tokens[np.repeat(self._first[piece] - upto[:-1], size) + np.arange(upto[-1])]
+            yield tokens, upto[np.searchsorted(starts, rows)]
+
+    def count(self, column: pa.Array):
+        """Yields (characters, tokens) of the pre-tokens of every row."""
+        for codes, rows in self._chunks(column):
+            starts, piece = self._pieces(codes, rows)
+            size = self._first[piece + 1] - self._first[piece]
+            chars = np.diff(np.append(starts, len(codes)))
+            cuts = np.searchsorted(starts, rows)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield chars[a:b], size[a:b]
+
+    def count_piece(self, piece: str) -> int:
+        return len(self._library.encode_ordinary(piece))
+
+    def _chunks(self, column: pa.Array):
         raw, bounds = text_bytes(column)
         first = 0
         while first < len(column):
@@ -126,12 +147,13 @@ class Encoder:
             codes = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
             leads = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum((part & 0xC0) != 0x80)))
             rows = leads[bounds[first : last + 1] - bounds[first]]
-            yield self._encode_chunk(codes, rows)
+            yield codes, rows
             first = last
 
-    def _encode_chunk(self, codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First code points and numbers of all pre-tokens of a chunk."""
         if not len(codes):
-            return np.zeros(0, dtype=np.uint16), np.zeros(len(rows), dtype=np.int64)
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         starts = np.flatnonzero(piece_starts(codes, rows[:-1][rows[:-1] < len(codes)]))
         ends = np.append(starts[1:], len(codes))
         keys = mix64(span_hashes(codes, starts, ends)) | np.uint64(1)
@@ -147,10 +169,7 @@ class Encoder:
             text = codes.tobytes().decode("utf-32-le")
             self._learn(fresh, [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             piece[missing] = self._find(keys[missing])
-        size = self._first[piece + 1] - self._first[piece]
-        upto = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(size)))
-        tokens = self._tokens[np.repeat(self._first[piece] - upto[:-1], size) + np.arange(upto[-1])]
-        return tokens, upto[np.searchsorted(starts, rows)]
+        return starts, piece
 
 
 _encoders: dict[str, Encoder] = {}

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, pages, secrets, toxicity, urlfilter
+from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, pages, secrets, tokencount, toxicity, urlfilter
 from plaudit.llm.common import new_stage, stage
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -100,6 +100,24 @@ def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "url", "day", "blocked", F.array_join("lists", ",").alias("lists"), "since")
 
 
+def edited(documents: DataFrame) -> DataFrame:
+    """Every document with three edits at places that follow from its id: a phrase put in, characters cut, a word replaced."""
+    size = F.length(F.coalesce("text", F.lit("")))
+
+    def place(n):
+        return F.pmod(F.xxhash64(F.lit(n), "doc_id"), size + 1).cast("int")
+
+    steps = [(place(1), 0, " and one more, don't"), (place(2), 7, ""), (place(3), 4, "word")]
+    made = [F.struct(at.alias("at"), F.lit(cut).alias("removed"), F.lit(new).alias("added")) for at, cut, new in steps]
+    return documents.withColumn("edits", F.array(*made))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    trees = tokencount.build_trees(documents, VOCABULARY, "edits")
+    return tokencount.apply_edits(trees, VOCABULARY).select("doc_id", "n_before", "n_after", "n_encoded")
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
