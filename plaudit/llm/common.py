@@ -168,9 +168,10 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     A row of fewer words has its whole sequence as one run; no words, no runs.
     """
     for _, words, rows in word_hashes(column):
-        value = np.zeros(max(len(words) - size + 1, 0), dtype=np.uint64)
+        n = max(len(words) - size + 1, 0)
+        value = np.zeros(n, dtype=np.uint64)
         for i in range(size):
-            value += words[i : len(words) - size + 1 + i] * np.uint64(pow(int(_BASE), i + 1, 1 << 64))
+            value += words[i : i + n] * np.uint64(pow(int(_BASE), i + 1, 1 << 64))
         value = mix64(value)
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
             if b - a >= size:
