@@ -10,11 +10,14 @@ Points of unrelated texts look alike in every single coordinate, so one tree ove
 whole corpus would open nearly all boxes for every text. The tree is therefore a
 forest, planted where links can be:
 
-1. *Roots.* Linked sets share one of the rarest ``n - ceil(0.75 n) + 1`` shingles of
-   either (prefix filter), in any order known to all. The order puts frequent
-   shingles last; they come from one counting pass, and only the top
-   ``HOT_SHINGLES`` are broadcast. Texts joined by shared rare shingles, directly or
-   through others, make one root; no link leads out of a root.
+1. *Roots.* Put all shingles into one order, the frequent ones last, and take of each set
+   the first ``n - ceil(0.75 n) + m`` with ``m`` a twentieth of its size. Linked sets share
+   at least ``m`` of these (the smaller ``m`` of both). Shared rare shingles are counted for
+   each pair of texts (at most ``RARE_RUN`` texts have a rare one), shared frequent ones are
+   bounded by how many each text has. Pairs and texts that cannot reach ``m`` are left out;
+   the others, joined directly or through others, make the roots, and no link leads out of
+   one. The order comes from a counting pass, of which the top ``HOT_SHINGLES`` are
+   broadcast; any order is right, a poor one costs time.
 2. *Forest.* A root with many texts is split by size class and hash into blocks, and
    pairs of blocks that can hold links are searched. A text meets its own class and
    the next ones only, and no task holds more than two blocks.
@@ -45,14 +48,20 @@ from plaudit.llm.components import connected
 SHINGLE = 5
 # Linked means 100 * |A and B| >= 75 * |A or B|, that is 7 * |A and B| >= 3 * (|A| + |B|).
 HOT_SHINGLES = 200_000  # broadcast; the rest counts as rare, which costs time and never a link
-HOT_IN_BATCH, HOT_IN_ALL = 4, 32
+HOT_IN_BATCH = 2
+RARE_RUN = 16  # texts that a rare shingle has at most
 SALTS = 8
 BLOCK_TEXTS, BLOCK_SHINGLES = 2_048, 1 << 21
 FANOUT = 32
 
 
+def shared_least(n: int) -> int:
+    """Shingles of their prefixes that linked sets share at least."""
+    return max(1, n // 20)
+
+
 def prefix_size(n: int) -> int:
-    return n - (75 * n + 99) // 100 + 1
+    return n - (75 * n + 99) // 100 + shared_least(n)
 
 
 def linked(common: int, a: int, b: int) -> bool:
@@ -75,7 +84,7 @@ def _hot_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"shingle": pa.array(every[first[many]].view(np.int64)), "n": pa.array(sizes[many])})
 
     counts = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.filter(F.col("n") >= HOT_IN_ALL).orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toPandas()
+    top = counts.filter(F.col("n") > RARE_RUN).orderBy(F.desc("n"), "shingle").limit(HOT_SHINGLES).toPandas()
     shingle = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(shingle)
     return shingle[order], top["n"].to_numpy(dtype=np.int64)[order]
@@ -121,40 +130,79 @@ def _vertices(documents: DataFrame) -> DataFrame:
     return stage(made.drop("text"))
 
 
-def _roots(rows: DataFrame) -> DataFrame:
-    """(a, b): vertices that share a rare shingle with others, and the name of their root."""
+def _runs(batches):
+    """From postings in order of shingle: pairs of texts with a rare one (b), and texts of frequent ones (shingle)."""
+    held = [np.zeros(0, dtype=np.int64)] * 3
+    open_ = None  # key of a frequent run that goes on
+
+    def out(a, b, shingle):
+        n, k = len(b), len(shingle)
+        none = np.zeros(n + k, dtype=bool)
+        return pa.RecordBatch.from_pydict({
+            "a": pa.array(a),
+            "b": pa.array(np.append(b, np.zeros(k, dtype=np.int64)), mask=np.arange(n + k) >= n),
+            "shingle": pa.array(np.append(np.zeros(n, dtype=np.int64), shingle), mask=np.arange(n + k) < n if n + k else none),
+        })
+
+    def work(shingle, salt, vertex, last):
+        """Rows to emit, and the rows of a run that may go on in the next batch."""
+        nonlocal open_
+        same = (shingle[1:] == shingle[:-1]) & (salt[1:] == salt[:-1])
+        unlike = np.append(True, ~same | (vertex[1:] != vertex[:-1]))
+        shingle, salt, vertex = shingle[unlike], salt[unlike], vertex[unlike]
+        fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]))
+        run = np.cumsum(fresh) - 1
+        starts = np.flatnonzero(fresh)
+        often = (np.diff(np.append(starts, len(run))) > RARE_RUN) | (salt[starts] > 0)
+        often[0] |= (shingle[0], salt[0]) == open_
+        keep = len(run)
+        if not last:
+            if often[-1]:
+                open_ = (shingle[-1], salt[-1])
+            else:
+                keep = starts[-1]
+        rest = [x[keep:] for x in (shingle, salt, vertex)]
+        shingle, vertex, run = shingle[:keep], vertex[:keep], run[:keep]
+        many = often[run]
+        a, b = [], []
+        for step in range(1, RARE_RUN):
+            met = (run[step:] == run[:-step]) & ~many[step:] if step < len(run) else np.zeros(0, dtype=bool)
+            if not met.any():
+                break
+            a.append(vertex[:-step][met])
+            b.append(vertex[step:][met])
+        b = np.concatenate([np.zeros(0, dtype=np.int64), *b])
+        return out(np.concatenate([*a, vertex[many]]), b, shingle[many]), rest
+
+    for batch in batches:
+        if batch.num_rows:
+            columns = [np.asarray(batch.column(c)).astype(np.int64) for c in ("shingle", "salt", "vertex")]
+            made, held = work(*[np.append(h, c) for h, c in zip(held, columns)], last=False)
+            yield made
+    if len(held[0]):
+        yield work(*held, last=True)[0]
+
+
+def _roots(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): texts that may be linked with others (and some shingles) with the name of their root."""
     posted = rows.filter("prefix is not null").select("vertex", "hot_from", F.posexplode("prefix").alias("at", "shingle"))
-    # Runs of a frequent shingle are cut into parts, which are linked below.
+    # Runs of frequent shingles are cut into parts; they need not meet.
     salt = F.when(F.col("at") >= F.col("hot_from"), 1 + F.pmod("vertex", F.lit(SALTS))).otherwise(0).cast("int")
     posted = posted.select("shingle", salt.alias("salt"), "vertex")
-
-    def runs(batches):
-        """Each vertex with the first one of its run; parts of frequent runs also name their first."""
-        last, head = (None, None), 0
-        for batch in batches:
-            shingle, salts, vertex = (np.asarray(batch.column(c)) for c in ("shingle", "salt", "vertex"))
-            if not len(vertex):
-                continue
-            fresh = np.ones(len(vertex), dtype=bool)
-            fresh[0] = (shingle[0], salts[0]) != last
-            fresh[1:] = (shingle[1:] != shingle[:-1]) | (salts[1:] != salts[:-1])
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(vertex)), -1))
-            first = np.where(at >= 0, vertex[at], head)
-            last, head = (shingle[-1], salts[-1]), first[-1]
-            link, named = first != vertex, fresh & (salts > 0)
-            pairs = np.unique(np.stack([vertex[link], first[link]], axis=1), axis=0)
-            n, k = len(pairs), int(named.sum())
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array(np.append(pairs[:, 0], vertex[named])),
-                "b": pa.array(np.append(pairs[:, 1], np.zeros(k, dtype=np.int64)), mask=np.arange(n + k) >= n),
-                "shingle": pa.array(np.append(np.zeros(n, dtype=np.int64), shingle[named])),
-            })
-
     dealt = posted.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "vertex")
-    found = stage(dealt.mapInArrow(runs, "a long, b long, shingle long"))
-    names = found.filter("b is null").select("shingle", "a")
-    across = names.join(names.groupBy("shingle").agg(F.min("a").alias("b")), "shingle").select("a", "b")
-    return connected(found.filter("b is not null").select("a", "b").unionByName(across))
+    found = stage(dealt.mapInArrow(_runs, "a long, b long, shingle long"))
+    frequent = found.filter("b is null").select(F.col("a").alias("vertex"), "shingle")
+    often = frequent.groupBy("vertex").agg(F.count(F.lit(1)).alias("often"))
+    own = sizes.select("vertex", "n").join(often, "vertex", "left").na.fill({"often": 0})
+    own = stage(own.withColumn("least", F.greatest(F.lit(1), F.floor(F.col("n") / 20))))
+    one, two = (own.select([F.col(c).alias(f"{c}_{side}") for c in own.columns]) for side in "ab")
+    pairs = found.filter("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("rare"))
+    pairs = pairs.join(one, F.col("a") == F.col("vertex_a")).join(two, F.col("b") == F.col("vertex_b"))
+    reach = F.col("rare") + F.least("often_a", "often_b") >= F.least("least_a", "least_b")
+    near = 4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")
+    able = own.filter("often >= least").select("vertex")
+    stars = frequent.join(able, "vertex").select(F.col("vertex").alias("a"), F.col("shingle").alias("b"))
+    return connected(pairs.filter(reach & near).select("a", "b").unionByName(stars))
 
 
 # --- blocks and trees ------------------------------------------------------------------------
@@ -285,11 +333,11 @@ def _links(texts: DataFrame) -> DataFrame:
 
 def _labels(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(vertex, label) of all vertices with links."""
-    roots = _roots(rows)
+    sizes = stage(rows.filter("prefix is not null").groupBy("vertex").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key")))
+    roots = _roots(rows, sizes)
     named = roots.select(F.col("a").alias("vertex"), F.col("b").alias("root")).unionByName(
         roots.select(F.col("b").alias("vertex"), F.col("b").alias("root")).distinct()
     )
-    sizes = rows.filter("prefix is not null").groupBy("vertex").agg(F.first("n").alias("n"), F.min("text_key").alias("text_key"))
     members = stage(named.join(sizes, "vertex"))
     docs = columns_of(documents, "text").withColumn("k", F.xxhash64("text"))
     held = attach(docs, members.select("text_key", "vertex"), F.col("k") == F.col("text_key"), "inner")

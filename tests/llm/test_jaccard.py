@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from edge import components, edge_docs, empty_docs, families, rows, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,11 +49,12 @@ def test_components_equal_all_pairs(spark):
     _check(jaccard.components_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), texts)
 
 
-def test_split_roots_and_hot_shingles_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("rare", [2, 3, 16])
+def test_split_roots_and_hot_shingles_give_the_same(spark, monkeypatch, rare):
     """Blocks of a few texts, and every shared shingle taken as frequent."""
     monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 3)
-    monkeypatch.setattr(jaccard, "HOT_IN_BATCH", 2)
-    monkeypatch.setattr(jaccard, "HOT_IN_ALL", 2)
+    monkeypatch.setattr(jaccard, "HOT_IN_BATCH", 1)
+    monkeypatch.setattr(jaccard, "RARE_RUN", rare)
     texts = families(seed=2, groups=15) + ["same words in a row for all of us here now " * 2 + f"{i}" for i in range(12)]
     _check(jaccard.components_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), texts)
 
@@ -82,3 +84,22 @@ def test_connected_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200 + i) for i in range(20)] + [(7, 7)]
     found = connected(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r.a, r.b) for r in found) == [(i, 1) for i in range(2, 41)] + [(200 + i, 100) for i in range(20)]
+
+
+def test_runs_over_many_batches():
+    """Pairs of rare shingles and texts of frequent ones do not depend on where batches end."""
+    rng = np.random.default_rng(3)
+    rows = np.unique(np.stack([rng.geometric(0.15, 900), rng.integers(0, 60, 900)], axis=1), axis=0)
+    rows = np.repeat(rows, rng.integers(1, 3, len(rows)), axis=0)
+    wanted = set()
+    for shingle in np.unique(rows[:, 0]):
+        texts = np.unique(rows[rows[:, 0] == shingle, 1]).tolist()
+        if len(texts) > jaccard.RARE_RUN:
+            wanted |= {(t, None, int(shingle)) for t in texts}
+        else:
+            wanted |= {(a, b, None) for i, a in enumerate(texts) for b in texts[i + 1 :]}
+    for size in (1, 2, 7, 50, 5000):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_pydict({"shingle": c[:, 0], "salt": np.zeros(len(c), dtype=np.int32), "vertex": c[:, 1]}) for c in cut]
+        got = {tuple(r.values()) for b in jaccard._runs(batches) for r in b.to_pylist()}
+        assert got == wanted
