@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit.functions.text import MARKUP, NON_SPACE, SPACE_CLASS
-from plaudit.sources.readers import spread_small
+from plaudit.sources.readers import spread_file
 from plaudit.rules import CONTRACTIONS, LEMMA_MIN_CHARS, LEMMA_SUFFIXES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("review_id"), F.col("text").alias("review_text")
     )
-    return spread_small(documents, "review_id")
+    return spread_file(documents)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 _SPLIT = 2049.0
 
 
-def rounded_ratio(num: str, den: str, digits: int = 4) -> Column:
+def rounded_ratio(num: str, den: str, digits: int = 4, wide: bool = False) -> Column:
     """``num / den`` rounded to ``digits`` <= 4 places.
 
-    Both are SQL expressions of BIGINT type, ``num`` >= 0 and ``den`` > 0.
+    Both are SQL expressions of BIGINT type, ``num`` >= 0 and ``den`` > 0. For
+    totals of many rows ``wide`` takes the products as DECIMAL(38, 0), where
+    BIGINT would overflow.
     """
+    if wide:
+        return _wide_ratio(num, den, digits)
     scale, odd, two = 10**digits, 5**digits, 2 ** (digits + 1)
     num, den = f"cast({num} AS BIGINT)", f"cast({den} AS BIGINT)"
     low = f"({num} * {scale}L div {den})"
@@ -35,6 +39,21 @@ def rounded_ratio(num: str, den: str, digits: int = 4) -> Column:
     return F.expr(f"({low} + {up}) / {scale}D")
 
 
+def _wide_ratio(num: str, den: str, digits: int) -> Column:
+    scale, odd, two = 10**digits, 5**digits, 2 ** (digits + 1)
+    num, den = f"cast({num} AS DECIMAL(27, 0))", f"cast({den} AS DECIMAL(27, 0))"
+    low = f"({num} * {scale} div {den})"
+    rest = f"({num} * {2 * scale} - cast({low} AS DECIMAL(20, 0)) * cast({den} * 2 AS DECIMAL(18, 0)))"
+    quotient = f"(cast({num} AS DOUBLE) / cast({den} AS DOUBLE))"
+    head = f"({quotient} * {_SPLIT}D - ({quotient} * {_SPLIT}D - {quotient}))"
+    excess = f"(({head} * {odd}D - ({low} * 2L + 1L) / {two}D) + ({quotient} - {head}) * {odd}D)"
+    up = (
+        f"CASE WHEN {rest} > {den} THEN 1L WHEN {rest} < {den} THEN 0L "
+        f"WHEN {excess} > 0 THEN 1L WHEN {excess} < 0 THEN 0L ELSE {low} % 2L END"
+    )
+    return F.expr(f"({low} + {up}) / {scale}D")
+
+
 def rounded_ratio_sql(num: str, den: str, digits: int = 4) -> str:
     """The same rule as a DuckDB expression over BIGINT expressions."""
     scale, odd, two = 10**digits, 5**digits, 2 ** (digits + 1)

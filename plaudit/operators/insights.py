@@ -26,6 +26,9 @@ KeywordGroups = Sequence[tuple[str, Sequence[str]]]
 
 
 def _has_any(text: Column, words: Sequence[str]) -> Column:
+    """False for an empty list, and null for a null text."""
+    if not words:
+        return F.when(text.isNotNull(), False)
     return F.regexp_like(text, F.lit("|".join(re.escape(w) for w in words)))
 
 
@@ -82,7 +85,7 @@ def insight_summary(scored: DataFrame) -> DataFrame:
         F.coalesce(F.sum(ten_thousandths), F.lit(0)).alias("_sum"),
     )
     n = F.col("total_reviews")
-    share = F.when(n == 0, 0.0).otherwise(rounded_ratio("_neg * 100", "total_reviews", 1))
+    share = F.when(n == 0, 0.0).otherwise(rounded_ratio("cast(_neg AS DECIMAL(20, 0)) * 100", "total_reviews", 1, wide=True))
     return sums.select(
         "total_reviews",
         F.format_string("%.1f%%", share).alias("negative_review_percentage"),
@@ -92,7 +95,7 @@ def insight_summary(scored: DataFrame) -> DataFrame:
 
 def mean_compound(total: str, n: str) -> Column:
     """Mean of 4-decimal scores, summed in 1e-4 units, rounded to 4 decimals."""
-    size = rounded_ratio(f"abs({total})", f"greatest({n}, 1) * 10000", 4)
+    size = rounded_ratio(f"abs({total})", f"cast(greatest({n}, 1) AS DECIMAL(20, 0)) * 10000", 4, wide=True)
     return F.when(F.col(n) == 0, 0.0).when(F.col(total) < 0, -size).otherwise(size)
 
 
@@ -144,7 +147,7 @@ def sentiment_overview(scored: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.round(F.col("compound") * 10_000).cast("bigint")), F.lit(0)).alias("_sum"),
     )
     n = F.col("reviews")
-    raw = F.when(n == 0, 0.0).otherwise(F.col("_sum") / (n * 10_000))
+    raw = F.when(n == 0, 0.0).otherwise(F.col("_sum") / n / 10_000)
     return sums.select(
         "reviews", mean_compound("_sum", "reviews").alias("average_compound"), sentiment_label(raw).alias("overall_label")
     )

@@ -14,32 +14,41 @@ MAX_LISTED = 20_000
 SALTS = 16
 
 
+def _one_row_each(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    known = df.select(key, *columns).na.drop(subset=[key])
+    if not columns:
+        return known.distinct()
+    best = known.groupBy(key).agg(F.max(F.struct(*columns)).alias("_v"))
+    return best.select(key, *[F.col(f"_v.{c}").alias(c) for c in columns])
+
+
 class Lookup:
     """A table with one row per ``key``, joined by broadcast or with salt.
 
     A table within ``MAX_ROWS`` and ``MAX_BYTES`` is broadcast. A larger one is
     joined by shuffle: the many side spreads each key over ``SALTS`` values, so
     a key holding a third of all rows is split too, and the lookup side is
-    repeated once per salt.
+    repeated once per salt. The size decides the plan, never the answer: null
+    keys are left out and of repeated keys the largest row of values counts.
     """
 
     def __init__(self, df: DataFrame, key: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> None:
         self.key = key
         self.columns = [c for c in df.columns if c != key]
-        rows = df.select(key, *self.columns).take(max_rows + 1)
+        df = _one_row_each(df, key, self.columns)
+        rows = df.take(max_rows + 1)
         size = sum(len(str(v)) + 16 for row in rows for v in row)
         self.small = len(rows) <= max_rows and size <= max_bytes
         if self.small:
-            unique = {row[0]: row for row in rows if row[0] is not None}
-            values = list(zip(*unique.values())) or [[] for _ in df.columns]
+            unique = {row[0]: row for row in rows}
+            values = list(zip(*rows)) or [[] for _ in df.columns]
             names = [key, *self.columns]
             schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in names)
             self.df = small_table(df.sparkSession, dict(zip(names, values)), schema)
             listed = len(unique) <= MAX_LISTED and all(isinstance(k, str) for k in unique)
             self.listed = sorted(unique) if listed else None
         else:
-            merged = [F.max(c).alias(c) for c in self.columns] or [F.count(F.lit(1)).alias("_n")]
-            self.df = df.na.drop(subset=[key]).groupBy(key).agg(*merged)
+            self.df = df
             self.listed = None
 
     def holds(self, name: str) -> str:

@@ -27,7 +27,7 @@ def result_summary(scored: DataFrame) -> DataFrame:
         F.coalesce(units("sentiment_compound"), F.lit(0)).alias("_comp"),
     )
     n = F.col("total")
-    raw = F.when(n == 0, 0.0).otherwise(F.col("_comp") / (n * 10_000))
+    raw = F.when(n == 0, 0.0).otherwise(F.col("_comp") / n / 10_000)
     return sums.select(
         "total", "genuine", "fake",
         mean_compound("_conf", "total").alias("mean_confidence"),

@@ -28,7 +28,7 @@ class ThemeConfig:
     top_terms: int = 8
     examples: int = 3
     seed: int = SEED
-    iterations: int = 20
+    iterations: int = 300
 
 
 LEGACY_THEMES = ThemeConfig(clusters=3, max_features=1000, max_n=1, cleaned=False, top_terms=5)

@@ -19,6 +19,7 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.plaudit.spreadFiles", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

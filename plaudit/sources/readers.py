@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,18 @@ class SourceError(ValueError):
         self.code = code
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows over all cores when a scan has fewer splits than cores.
+SPREAD = "spark.plaudit.spreadFiles"
 
-    Text work is CPU-bound, so one file of one row group would keep one core
-    busy. Inputs with enough splits pass unchanged and are not shuffled.
+
+def spread_file(df: DataFrame) -> DataFrame:
+    """Deal the rows of one unsplittable file over the cores, if the session asks for it.
+
+    Only ``local_session`` does, where a table is one row group. Rows are dealt
+    round robin, so no later shuffle is saved by it; elsewhere scans stay as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def small_table(spark: SparkSession, columns: dict[str, Sequence], schema: str | None = None) -> DataFrame:
@@ -49,23 +53,33 @@ def _header(spark: SparkSession, path: str | list[str]) -> list[str]:
     return names
 
 
+def csv_schema(header: Sequence[str]) -> T.StructType:
+    """Every column as STRING, and one for the raw text of broken records."""
+    return T.StructType([T.StructField(name, T.StringType()) for name in [*header, _CORRUPT]])
+
+
+def csv_options(multiline: bool = True) -> dict:
+    """How batch and stream read CSV. A file whose header has other names or another order is refused."""
+    return {
+        "pathGlobFilter": "*.csv", "header": True, "quote": '"', "escape": '"', "multiLine": multiline,
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "enforceSchema": False,
+    }
+
+
 def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = True) -> DataFrame:
     """CSV with header, every column as STRING.
 
     Records with too many fields are skipped, short ones are kept with nulls,
     and the usual missing-value spellings become null. ``multiline=False``
-    lets Spark split large files when no quoted field has a line break.
+    lets Spark split large files when no quoted field has a line break. All
+    files must have the header of the first; others are an error when read.
     """
     header = _header(spark, path)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _CORRUPT]])
-    raw = (
-        spark.read.schema(schema)
-        .option("pathGlobFilter", "*.csv")
-        .csv(
-            path, header=True, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE",
-            columnNameOfCorruptRecord=_CORRUPT, enforceSchema=True,
-        )
-    )
+    return clean_records(spark.read.schema(csv_schema(header)).options(**csv_options(multiline)).csv(path), header)
+
+
+def clean_records(raw: DataFrame, header: Sequence[str], *keep: Column) -> DataFrame:
+    """Sound records of ``csv_schema(header)`` with missing values as null."""
     last = F.col(f"`{header[-1]}`")
     # A record with too many fields fills the last declared column; so does a
     # sound one, but only broken ones keep their raw text in _corrupt. A long
@@ -75,7 +89,7 @@ def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = True)
     # Filtering on the corrupt column next to data columns is allowed; a scan
     # of the corrupt column alone is not, so all columns stay selected here.
     kept = raw.filter(~too_long)
-    return kept.select(*[_null_if_missing(F.col(f"`{name}`")).alias(name) for name in header])
+    return kept.select(*[_null_if_missing(F.col(f"`{name}`")).alias(name) for name in header], *keep)
 
 
 def _null_if_missing(value):
@@ -129,7 +143,10 @@ def read_scoring_csv(spark: SparkSession, path: str | list[str], multiline: bool
         raise
     except Exception as error:
         raise SourceError("PARSE_ERROR", "could not parse the CSV file") from error
-    return reviews_for_scoring(table)
+    found = reviews_for_scoring(table)
+    if not found.take(1):
+        raise SourceError("EMPTY_DATA", "the CSV file has no valid reviews")
+    return found
 
 
 def labelled_reviews(df: DataFrame) -> DataFrame:

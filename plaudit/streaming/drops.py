@@ -6,21 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plaudit.sources.readers import reviews_for_scoring
+from plaudit.session import staged
+from plaudit.sources.readers import clean_records, csv_options, csv_schema, reviews_for_scoring
 
 
 def read_drops(spark: SparkSession, folder: str, columns: list[str], files_per_batch: int = 100) -> DataFrame:
-    """New CSV files of ``folder`` as a stream; every column as STRING."""
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "*.csv")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(folder, header=True, quote='"', escape='"', multiLine=True)
-        .withColumn("source_file", F.col("_metadata.file_path"))
-    )
+    """New CSV files of ``folder`` as a stream, read and cleaned like a batch; with ``source_file``."""
+    raw = spark.readStream.schema(csv_schema(columns)).options(**csv_options()).option("maxFilesPerTrigger", files_per_batch)
+    return clean_records(raw.csv(folder), columns, F.col("_metadata.file_path").alias("source_file"))
 
 
 def score_drops(
@@ -40,8 +34,10 @@ def score_drops(
     """
 
     def one_batch(batch: DataFrame, number: int) -> None:
-        reviews = reviews_for_scoring(batch.drop("source_file"))
-        score(reviews).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        # Ids are fixed by writing the rows once; the batch number keeps them apart between batches.
+        place = F.xxhash64(F.lit(number), "source_file", F.monotonically_increasing_id())
+        numbered = staged(batch.withColumn("review_id", place).drop("source_file"))
+        score(reviews_for_scoring(numbered)).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     query = (
         read_drops(spark, folder, columns, files_per_batch)

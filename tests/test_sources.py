@@ -129,3 +129,30 @@ def test_shared_dir(spark):
 
     assert shared_dir(spark)
     assert local_session() is not None
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,review_text\n1,first text\n")
+    (tmp_path / "b.csv").write_text("review_text,id\nsecond text,2\n")
+    with pytest.raises(Exception, match="header"):
+        rd.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_empty_upload_is_rejected(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,review_text\n1,NaN\n2,\n")
+    with pytest.raises(rd.SourceError, match="EMPTY_DATA"):
+        rd.read_scoring_csv(spark, str(tmp_path / "a.csv"))
+
+
+def test_stream_equals_batch_and_ids_differ(spark, tmp_path, edge_file):
+    text = EDGES.replace("review_text,label", "review_text,other")
+    folder, out, mark = tmp_path / "drops", str(tmp_path / "out"), str(tmp_path / "mark")
+    folder.mkdir()
+    (folder / "a.csv").write_text(text)
+    score_drops(spark, str(folder), ["review_text", "other"], lambda df: df, out, mark)
+    (folder / "b.csv").write_text(text)
+    score_drops(spark, str(folder), ["review_text", "other"], lambda df: df, out, mark)
+    rows = spark.read.parquet(out).collect()
+    batch = [r["review_text"] for r in rd.read_scoring_csv(spark, str(folder)).collect()]
+    assert sorted(r["review_text"] for r in rows) == sorted(batch)
+    assert len({r["review_id"] for r in rows}) == len(rows) == 2 * 5
