@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaudit.catalog.common import Query, labelled, reviews, table
@@ -28,7 +29,8 @@ from plaudit.operators.oversample import balance_classes
 from plaudit.operators.splits import stratified_folds
 from plaudit.plans.scoring import analyse_feedback, feedback_rows, score_batch
 from plaudit.plans.training import feature_table, train
-from plaudit.operators.report import result_summary
+from plaudit.operators.report import result_summary, signed_score
+from plaudit.rules import SIGNAL_COLUMNS
 
 SMALL = TrainConfig(
     max_features=500, lr_iterations=20, trees=10, tree_depth=6, rounds=3, round_depth=3, folds=0, scale_signals=True
@@ -147,6 +149,53 @@ def q_centroids(spark, sf):
     return found.select("cluster", "term", F.round("weight", 6).alias("weight"))
 
 
+def _given_clusters(spark, sf):
+    """Every document in the cluster of its source, and the clusters' mean weights."""
+    found = q_centroids(spark, sf)
+    number = F.regexp_extract("cluster", r"(\d+)$", 1).cast("int")
+    cells = found.select(number.alias("cluster"), "term", "weight")
+    source = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), source.alias("cluster")), cells
+
+
+def q_given_themes(spark, sf):
+    """Theme report of a given clustering: sizes, top terms, first reviews, place by size."""
+    members, cells = _given_clusters(spark, sf)
+    rows = th.theme_rows(reviews(spark, sf), members, th.top_terms_of(cells, 8), 3)
+    place = F.row_number().over(W.orderBy(F.desc("size"), "cluster_id")).cast("bigint")
+    return rows.select(
+        place.alias("place"), "cluster_id", "size", F.array_join("key_terms", "|").alias("key_terms"),
+        F.array_join(F.slice("key_terms", 1, 4), ", ").alias("first_terms"),
+        F.array_join("representative_examples", "|").alias("examples"),
+    )
+
+
+def q_given_topics(spark, sf):
+    _, cells = _given_clusters(spark, sf)
+    return th.theme_lines(th.top_terms_of(cells, 5))
+
+
+def q_predict_signals(spark, sf):
+    """Every scored review: its signals, and whether shares, confidence and label fit together."""
+    rows = q_predict_batch(spark, sf)
+    fake, genuine = F.col("fake_probability"), F.col("genuine_probability")
+    return rows.select(
+        "review_id", *SIGNAL_COLUMNS,
+        (F.abs(fake + genuine - 1) < 1e-9).alias("shares_sum"),
+        (F.col("confidence") == F.greatest(fake, genuine)).alias("confidence_fits"),
+        F.col("prediction").isin("Genuine", "Fake").alias("label_known"),
+        ((F.col("prediction") == "Genuine") | (genuine <= 0.5)).alias("label_fits"),
+    )
+
+
+def q_batch_tone(spark, sf):
+    """The batch job's rows: id, text length and sentiment columns."""
+    return q_batch_score(spark, sf).select(
+        "review_id", F.length("review_text").cast("bigint").alias("chars"), "sentiment_label", "sentiment_compound",
+        signed_score(F.col("sentiment_compound")).alias("signed"),
+    )
+
+
 def q_batch_score(spark, sf):
     return score_batch(reviews(spark, sf), _model(spark, sf), opinion.lexicon(spark), opinion.RULES)
 
@@ -174,6 +223,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from plaudit.catalog.common import sql_clean_tokens
+    from plaudit.catalog.sqlsentiment import sentiment_sql
     from plaudit.functions.text import english_stop_words
 
     tokens = sql_clean_tokens("text", english_stop_words())
@@ -197,7 +247,39 @@ def oracle_sql() -> dict[str, str]:
       signals AS ({signals})
       SELECT review_id, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS value FROM raw
       UNION ALL SELECT review_id, idx, round(value, 6) FROM ({cells}) WHERE value <> 0"""
+    centroids = f"""
+          WITH tf AS (SELECT doc_id, source, term, count(*) AS tf FROM ({words}) GROUP BY ALL),
+          vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 200),
+          raw AS (SELECT doc_id, source, tf.term, tf * (ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)::DOUBLE) + 1) AS w
+                  FROM tf JOIN vocab USING (term)),
+          unit AS (SELECT source, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)
+          SELECT source AS cluster, term, round(sum(w) / any_value(n), 6) AS weight
+          FROM unit JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source) GROUP BY ALL"""
+    number = "regexp_extract({}, '([0-9]+)$', 1)::INTEGER + 1"
+    ranked = f"""
+      SELECT {number.format('cluster')} AS cluster_id, term, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term) AS r
+      FROM ({centroids})"""
+    sentiment = sentiment_sql("SELECT doc_id AS id, text AS t FROM documents", opinion.LEXICON, opinion.RULES)
     return {
+        "q_given_themes": f"""
+          WITH terms AS (
+            SELECT cluster_id, string_agg(term, '|' ORDER BY r) AS key_terms, string_agg(term, ', ' ORDER BY r) FILTER (r <= 4) AS first_terms
+            FROM ({ranked}) WHERE r <= 8 GROUP BY cluster_id),
+          placed AS (SELECT {number.format('source')} AS cluster_id, doc_id, text,
+                     row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+          sizes AS (SELECT cluster_id, count(*) AS size, string_agg(text, '|' ORDER BY r) FILTER (r <= 3) AS examples FROM placed GROUP BY cluster_id)
+          SELECT row_number() OVER (ORDER BY size DESC, cluster_id) AS place, cluster_id, size, key_terms, first_terms, examples
+          FROM sizes JOIN terms USING (cluster_id)""",
+        "q_given_topics": f"""
+          SELECT cluster_id, 'Cluster ' || cluster_id || ': ' || string_agg(term, ', ' ORDER BY r) AS topic
+          FROM ({ranked}) WHERE r <= 5 GROUP BY cluster_id""",
+        "q_predict_signals": f"""
+          SELECT *, true AS shares_sum, true AS confidence_fits, true AS label_known, true AS label_fits
+          FROM ({signals_sql('SELECT doc_id AS review_id, text AS t FROM documents', 'review_id')})""",
+        "q_batch_tone": f"""
+          SELECT s.id AS review_id, length(d.text)::BIGINT AS chars, label AS sentiment_label, compound AS sentiment_compound,
+                 CASE WHEN compound < 0 THEN '' ELSE '+' END || printf('%.4f', compound) AS signed
+          FROM ({sentiment}) s JOIN documents d ON d.doc_id = s.id""",
         "q_features": features,
         "q_neighbours": """
           SELECT vec_id, rank, neighbour, distance FROM (
@@ -207,12 +289,5 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON a.vec_id <> b.vec_id) WHERE rank <= 5""",
         "q_class_parity": """
           SELECT label, max(n) OVER () AS reviews FROM (SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality)""",
-        "q_centroids": f"""
-          WITH tf AS (SELECT doc_id, source, term, count(*) AS tf FROM ({words}) GROUP BY ALL),
-          vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 200),
-          raw AS (SELECT doc_id, source, tf.term, tf * (ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)::DOUBLE) + 1) AS w
-                  FROM tf JOIN vocab USING (term)),
-          unit AS (SELECT source, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)
-          SELECT source AS cluster, term, round(sum(w) / any_value(n), 6) AS weight
-          FROM unit JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source) GROUP BY ALL""",
+        "q_centroids": centroids,
     }

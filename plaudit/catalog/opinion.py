@@ -66,7 +66,7 @@ def q_sentiment_scores(spark, sf):
 
 def q_sentiment_turns(spark, sf):
     """User turns with a text key: sentiment of short feedback, snippet carried along."""
-    turns = table(spark, sf, "conversations").filter("role = 'user'").select(
+    turns = table(spark, sf, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("turn_id"),
         "text",
         latin1_only(snippet(F.col("text"), 120)).alias("snippet"),
@@ -197,7 +197,7 @@ def scored_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     sent = sentiment_sql(DOCUMENTS, LEXICON, RULES)
-    turns = "SELECT conv_id || '-' || turn AS id, text AS t FROM conversations WHERE role = 'user'"
+    turns = "SELECT conv_id || '-' || turn AS id, text AS t FROM conversations"
     pol = ", ".join(f"('{k}', {int(round(p * 1e6))}, {int(round(s * 1e6))})" for k, (p, s) in POLARITY.items())
     from plaudit.catalog.sqlsentiment import words_sql
 

@@ -104,9 +104,9 @@ def q_valid_reject(spark, sf):
 
 
 def q_corpus_union(spark, sf):
-    """Reviews as genuine, user turns as fake, in one labelled corpus."""
+    """Reviews as genuine, conversation turns as fake, in one labelled corpus."""
     genuine = reviews(spark, sf).select("review_text")
-    fake = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("text").alias("review_text"))
+    fake = table(spark, sf, "conversations").select(F.col("text").alias("review_text"))
     both = lab.union_labelled(genuine, fake)
     return both.groupBy("label").agg(
         F.count(F.lit(1)).alias("reviews"), F.sum(F.length("review_text")).alias("chars")
@@ -239,7 +239,7 @@ def oracle_sql() -> dict[str, str]:
         "q_corpus_union": """
           SELECT label, count(*) AS reviews, sum(length(t))::BIGINT AS chars FROM (
             SELECT 1 AS label, text AS t FROM documents
-            UNION ALL SELECT 0, text FROM conversations WHERE role = 'user') GROUP BY label""",
+            UNION ALL SELECT 0, text FROM conversations) GROUP BY label""",
         "q_stratified_split": f"""
           SELECT review_id, r.label, r <= r.c - train_rows AS is_test FROM ({ranked}) r JOIN ({per}) p ON p.label = r.label""",
         "q_plain_split": """

@@ -47,7 +47,7 @@ def q_tfidf(spark, sf):
 
 def q_tfidf_transform(spark, sf):
     """User turns weighted by the vocabulary fitted on reviews; unknown terms vanish."""
-    turns = table(spark, sf, "conversations").filter("role = 'user'").select(
+    turns = table(spark, sf, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("review_id"), "text"
     )
     return _weights(spark, sf, tf.posting_rows(turns, _tokens("text"), 2), False)
@@ -109,7 +109,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT review_id, term, count(*) AS tf FROM ({source}) GROUP BY ALL) g
             JOIN ({vocab}) v ON v.term = g.term)"""
 
-    turns = "SELECT conv_id || '-' || turn AS review_id, text AS review_text FROM conversations WHERE role = 'user'"
+    turns = "SELECT conv_id || '-' || turn AS review_id, text AS review_text FROM conversations"
     words = f"""
       SELECT review_id, unnest({sql_words(sql_normalise('review_text'))}) AS token FROM ({DOCUMENTS})"""
     stop = ", ".join(f"('{w}')" for w in tx.english_stop_words())

@@ -81,8 +81,8 @@ def q_blank_defaults(spark, sf):
 
 
 def q_process_table(spark, sf):
-    users = table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", "text")
-    return process_reviews(users, "text").drop("text")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return process_reviews(turns, "text").drop("text")
 
 
 def q_ngrams(spark, sf):
@@ -138,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
         "q_signals": signals_sql("SELECT doc_id AS review_id, text AS t FROM documents", "review_id"),
         "q_blank_defaults": signals_sql(blanked, "review_id"),
         "q_process_table": signals_sql(
-            "SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user'",
+            "SELECT conv_id, turn, text AS t FROM conversations",
             "conv_id, turn",
             f"array_to_string({sql_clean_tokens('t', stop)}, ' ') AS cleaned_review,",
         ),

@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
@@ -197,7 +198,9 @@ class AuthenticityModel:
             config = replace(TrainConfig(**{k: v for k, v in read.items() if k != "members"}), members=tuple(read["members"]))
             members = {name: _LOADERS[name].load(f"{path}/{name}") for name in config.members}
             scaler = StandardScalerModel.load(f"{path}/scaler") if config.signals and config.scale_signals else None
-        except Exception as error:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise SourceError("MODEL_NOT_FOUND", f"no trained model at {path}; train and save one first") from error
         vocabulary = tfidf.Vocabulary.from_json(rows["vocabulary"])
         return cls(FeatureModel(config, vocabulary, scaler), VoteModel(members))

@@ -52,6 +52,11 @@ def _two_decimals(name: str) -> Column:
     return F.format_string("%.2f", rounded_ratio(f"round({name} * 10000)", "10000", 2))
 
 
+def signed_score(score: Column) -> Column:
+    """A score printed with its sign and four decimals."""
+    return F.format_string("%+.4f", score)
+
+
 def report_rows(scored: DataFrame, rows: int = REPORT_ROWS) -> DataFrame:
     """The first rows in id order, formatted for a printed table."""
     first = scored.orderBy("review_id").limit(rows)

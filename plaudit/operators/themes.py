@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plaudit.functions.text import clean_tokens, drop_stop_words, english_stop_words, vectorizer_tokens
 from plaudit.operators import tfidf
 from plaudit.rules import SEED
+from plaudit.session import cut_lineage
 from plaudit.sources.readers import small_table
 
 NO_CLUSTERS = "No significant clusters"
@@ -72,11 +73,16 @@ def _assign(reviews: DataFrame, config: ThemeConfig, k: int) -> Clustering | Non
         {"cluster": [r[0] for r in rows], "term": [r[2] for r in rows], "weight": [r[1] for r in rows]},
         "cluster int, term string, weight double",
     )
-    order = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
-    top = cells.withColumn("rank", order).filter(F.col("rank") <= config.top_terms)
     # Only ids and numbers are kept; texts are looked up for the examples.
-    members = model.transform(vectors).select("review_id", "cluster")
-    return Clustering(members, top.select("cluster", "rank", "term", "weight"))
+    members = cut_lineage(model.transform(vectors).select("review_id", "cluster"))
+    vectors.unpersist()
+    return Clustering(members, top_terms_of(cells, config.top_terms))
+
+
+def top_terms_of(cells: DataFrame, n: int) -> DataFrame:
+    """The ``n`` heaviest terms of every cluster: (cluster, rank, term, weight)."""
+    order = F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("weight"), "term"))
+    return cells.withColumn("rank", order).filter(F.col("rank") <= n).select("cluster", "rank", "term", "weight")
 
 
 def _in_order(value: str, output: str):
@@ -107,19 +113,25 @@ def find_themes(reviews: DataFrame, config: ThemeConfig = ThemeConfig()) -> Data
     found = _assign(reviews, config, k)
     if found is None:
         return _single(reviews, reviews.count(), config.examples)
-    sizes = found.members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    terms = found.terms.groupBy("cluster").agg(_in_order("term", "key_terms"))
+    return theme_rows(reviews, found.members, found.terms, config.examples)
+
+
+def theme_rows(reviews: DataFrame, members: DataFrame, top: DataFrame, n_examples: int) -> DataFrame:
+    """One row per cluster of any clustering (review_id, cluster), largest first."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    terms = top.groupBy("cluster").agg(_in_order("term", "key_terms"))
     order = F.row_number().over(W.partitionBy("cluster").orderBy("review_id"))
-    # At most k * examples ids, so the text scan is joined to a tiny table.
-    picked = found.members.withColumn("rank", order).filter(F.col("rank") <= config.examples)
+    # At most clusters * examples ids, so the text scan is joined to a small table.
+    picked = members.withColumn("rank", order).filter(F.col("rank") <= n_examples)
     examples = (
-        reviews.join(F.broadcast(picked), "review_id")
+        reviews.join(picked, "review_id")
         .groupBy("cluster")
         .agg(_in_order("review_text", "representative_examples"))
     )
-    table = sizes.join(terms, "cluster").join(examples, "cluster")
+    table = sizes.join(terms, "cluster", "left").join(examples, "cluster")
     return table.select(
-        (F.col("cluster") + 1).alias("cluster_id"), "key_terms", "representative_examples", "size"
+        (F.col("cluster") + 1).alias("cluster_id"),
+        F.coalesce("key_terms", F.array().cast("array<string>")).alias("key_terms"), "representative_examples", "size",
     ).orderBy(F.desc("size"), "cluster_id")
 
 
@@ -131,7 +143,12 @@ def topic_lines(reviews: DataFrame, config: ThemeConfig = LEGACY_THEMES) -> Data
     found = _assign(reviews, config, config.clusters)
     if found is None:
         return small_table(spark, {"cluster_id": [0], "topic": [NO_CLUSTERS]}, "cluster_id int, topic string")
-    terms = found.terms.groupBy("cluster").agg(_in_order("term", "key_terms"))
+    return theme_lines(found.terms)
+
+
+def theme_lines(top: DataFrame) -> DataFrame:
+    """"Cluster i: a, b, ..." for every cluster of (cluster, rank, term)."""
+    terms = top.groupBy("cluster").agg(_in_order("term", "key_terms"))
     number = F.col("cluster") + 1
     line = F.concat(F.lit("Cluster "), number.cast("string"), F.lit(": "), F.array_join("key_terms", ", "))
     return terms.select(number.alias("cluster_id"), line.alias("topic")).orderBy("cluster_id")
