@@ -10,12 +10,12 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from plaudit.catalog.common import Query, quoted, reviews, table
-from plaudit.catalog.sqlsentiment import sentiment_sql
+from plaudit.catalog.sqlsentiment import sentiment_sql, words_sql
 from plaudit.functions.rounding import rounded_ratio_sql
 from plaudit.functions.text import latin1_only, snippet
 from plaudit.operators import insights as ins
 from plaudit.operators.sentiment import score_polarity, score_sentiment, sentiment_columns
-from plaudit.rules import SentimentRules
+from plaudit.rules import PolarityRules, SentimentRules
 from plaudit.sources.readers import small_table
 
 LEXICON = {
@@ -27,6 +27,7 @@ POLARITY = {
     "tion": (0.35, 0.6), "ing": (-0.45, 0.2), "rewh": (0.9, 1.0), "orre": (-1.0, 0.85), "ment": (-0.15, 0.1),
     "eaux": (0.5, 0.5), "ier": (-0.65, 0.9), "heit": (0.25, 0.33), "ou": (-0.05, 0.0), "la": (0.4, 0.71),
 }
+POLARITY_RULES = PolarityRules(negations=("to", "pas", "zu", "que"), intensifiers=(("the", 1.3), ("de", 0.5), ("und", 1.5), ("la", 2.0)))
 RULES = SentimentRules(
     boosters=("the", "de", "der", "ci", "la en"), dampers=("and", "et", "und", "of the"),
     negations=("to", "pas", "zu", "que"), negation_suffix="nth",
@@ -75,11 +76,11 @@ def q_sentiment_turns(spark, sf):
 
 
 def q_sentiment_columns(spark, sf):
-    return sentiment_columns(reviews(spark, sf), lexicon(spark), polarity(spark), RULES)
+    return sentiment_columns(reviews(spark, sf), lexicon(spark), polarity(spark), RULES, polarity_rules=POLARITY_RULES)
 
 
 def q_polarity(spark, sf):
-    return score_polarity(reviews(spark, sf), polarity(spark))
+    return score_polarity(reviews(spark, sf), polarity(spark), rules=POLARITY_RULES)
 
 
 def q_sentiment_distribution(spark, sf):
@@ -198,8 +199,14 @@ def scored_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     sent = sentiment_sql(DOCUMENTS, LEXICON, RULES)
     turns = "SELECT conv_id || '-' || turn AS id, text AS t FROM conversations"
-    pol = ", ".join(f"('{k}', {int(round(p * 1e6))}, {int(round(s * 1e6))})" for k, (p, s) in POLARITY.items())
-    from plaudit.catalog.sqlsentiment import words_sql
+    pol = ", ".join(f"('{k}', {p}::DOUBLE, {s}::DOUBLE)" for k, (p, s) in POLARITY.items())
+    factor = " ".join(f"WHEN one = '{w}' THEN {by}::DOUBLE" for w, by in POLARITY_RULES.intensifiers)
+    stressed, negations = quoted(w for w, _ in POLARITY_RULES.intensifiers), quoted(POLARITY_RULES.negations)
+    negated = f"one IN ({negations}) OR (one IN ({stressed}) AND two IN ({negations}))"
+    spoken = f"""
+      SELECT *, CASE {factor} ELSE 1.0::DOUBLE END AS f, CASE WHEN {negated} THEN {POLARITY_RULES.negated_by}::DOUBLE ELSE 1.0::DOUBLE END AS turn
+      FROM (SELECT id, lower(word) AS word, lag(lower(word)) OVER (PARTITION BY id ORDER BY pos) AS one,
+                   lag(lower(word), 2) OVER (PARTITION BY id ORDER BY pos) AS two FROM ({words_sql(DOCUMENTS)}))"""
 
     def mean(total: str) -> str:
         top = f"(2 * {total} + n)"
@@ -208,8 +215,9 @@ def oracle_sql() -> dict[str, str]:
     polarity_sql = f"""
       SELECT id, {mean('p')} AS polarity, {mean('s')} AS subjectivity FROM (
         SELECT d.doc_id AS id, coalesce(sum(x.p), 0)::BIGINT AS p, coalesce(sum(x.s), 0)::BIGINT AS s, count(x.p) AS n
-        FROM documents d LEFT JOIN (SELECT w.id, l.p, l.s FROM ({words_sql(DOCUMENTS)}) w
-          JOIN (VALUES {pol}) l(token, p, s) ON l.token = lower(w.word)) x ON x.id = d.doc_id GROUP BY d.doc_id)"""
+        FROM documents d LEFT JOIN (
+          SELECT w.id, round(greatest(-1.0, least(1.0, l.p * f)) * turn * 1e6)::BIGINT AS p, round(least(1.0, l.s * f) * 1e6)::BIGINT AS s
+          FROM ({spoken}) w JOIN (VALUES {pol}) l(token, p, s) ON l.token = w.word) x ON x.id = d.doc_id GROUP BY d.doc_id)"""
     breakdown = f"""
       SELECT category, count(*) AS count,
              min(snippet) FILTER (r = 1) AS example_1, min(snippet) FILTER (r = 2) AS example_2

@@ -20,7 +20,15 @@ from pyspark.sql import functions as F
 from plaudit.functions.rounding import rounded_ratio
 from plaudit.functions.text import SPACE_CLASS, is_blank
 from plaudit.operators.lookup import Lookup
-from plaudit.rules import DEFAULT_SENTIMENT, SEED_LEXICON, SEED_POLARITY, SENTIMENT_THRESHOLD, SentimentRules
+from plaudit.rules import (
+    DEFAULT_POLARITY,
+    DEFAULT_SENTIMENT,
+    SEED_LEXICON,
+    SEED_POLARITY,
+    SENTIMENT_THRESHOLD,
+    PolarityRules,
+    SentimentRules,
+)
 from plaudit.sources.readers import small_table
 
 MICRO = 1_000_000
@@ -265,24 +273,34 @@ def score_polarity(
     table: DataFrame | None = None,
     id_column: str = "review_id",
     text_column: str = "review_text",
+    rules: PolarityRules = DEFAULT_POLARITY,
 ) -> DataFrame:
-    """(id, polarity, subjectivity): the mean over matched words, 0.0 without any."""
+    """(id, polarity, subjectivity): the mean over matched words after the rules, 0.0 without any."""
     lookup = Lookup(table if table is not None else seed_polarity(reviews.sparkSession), "token")
     words = F.transform(spoken_words(F.coalesce(F.col(text_column), F.lit(""))), lambda w: F.lower(w))
-    # The leading null is the header row that keeps reviews without a match.
-    listed = reviews.select(id_column, words.alias("_l"))
+    placed = F.transform("_l", lambda w, i: F.struct(w.alias("tok"), F.get("_l", i - 1).alias("one"), F.get("_l", i - 2).alias("two")))
+    listed = reviews.select(id_column, words.alias("_l")).select(id_column, placed.alias("_l"))
     if lookup.listed is not None:
-        listed = listed.withColumn("_l", F.expr(f"filter(_l, w -> {lookup.holds('w')})"))
-    rows = listed.select(
-        id_column, F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), F.col("_l"))).alias("pos", "tok")
-    )
+        listed = listed.withColumn("_l", F.expr(f"filter(_l, w -> {lookup.holds('w.tok')})"))
+    # The leading null is the header row that keeps reviews without a match.
+    nothing = F.array(F.lit(None).cast("struct<tok:string,one:string,two:string>"))
+    rows = listed.select(id_column, F.posexplode_outer(F.concat(nothing, F.col("_l"))).alias("pos", "w")).select(id_column, "pos", "w.*")
     names = {"polarity": "pol", "subjectivity": "sub"}
     found = lookup.join(rows, F.col("tok"), names, F.struct(F.col(id_column), F.col("pos")))
-    micro = lambda name: F.sum(F.round(F.col(name) * float(MICRO)).cast("bigint"))
+    factor = F.lit(1.0)
+    for word, by in rules.intensifiers:
+        factor = F.when(F.col("one") == word, by).otherwise(factor)
+    stressed = F.col("one").isin([word for word, _ in rules.intensifiers])
+    negated = F.col("one").isin(list(rules.negations)) | (stressed & F.col("two").isin(list(rules.negations)))
+    turn = F.when(negated, rules.negated_by).otherwise(1.0)
+    hit = F.col("pol").isNotNull()
+    polarity = F.when(hit, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("pol") * factor)) * turn)
+    subjectivity = F.when(hit, F.least(F.lit(1.0), F.col("sub") * factor))
+    micro = lambda value: F.sum(F.round(value * float(MICRO)).cast("bigint"))
     sums = (
         found.filter((F.col("pos") == 0) | F.col("pol").isNotNull())
         .groupBy(id_column)
-        .agg(micro("pol").alias("_p"), micro("sub").alias("_s"), F.count("pol").alias("_n"))
+        .agg(micro(polarity).alias("_p"), micro(subjectivity).alias("_s"), F.count("pol").alias("_n"))
     )
 
     def mean(name: str) -> Column:
@@ -301,9 +319,10 @@ def sentiment_columns(
     rules: SentimentRules = DEFAULT_SENTIMENT,
     id_column: str = "review_id",
     text_column: str = "review_text",
+    polarity_rules: PolarityRules = DEFAULT_POLARITY,
 ) -> DataFrame:
     """Column form: sentiment_label, sentiment_score, polarity, subjectivity per id."""
     scored = score_sentiment(reviews, lexicon, rules, id_column, text_column).select(
         id_column, F.col("label").alias("sentiment_label"), F.col("compound").alias("sentiment_score")
     )
-    return scored.join(score_polarity(reviews, polarity, id_column, text_column), id_column)
+    return scored.join(score_polarity(reviews, polarity, id_column, text_column, polarity_rules), id_column)

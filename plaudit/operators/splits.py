@@ -21,7 +21,7 @@ from plaudit.sources.readers import small_table
 PREFIX_CHARS = 3
 # Rows of one (label, prefix) group that a single task may rank.
 GROUP_ROWS = 1_000_000
-MAX_LABELS = 1_000
+KEY_CHARS = 32  # of an md5
 
 
 def shuffle_key(id_column: Column, seed: int = SEED) -> Column:
@@ -30,38 +30,52 @@ def shuffle_key(id_column: Column, seed: int = SEED) -> Column:
 
 
 def _label_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).take(MAX_LABELS + 1)
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    return {row[0]: row["n"] for row in rows}
-
-
-def _cutoffs(keyed: DataFrame, ranks: dict, total: int) -> dict:
-    """The hash at each wanted 1-based rank, per label. ``keyed`` has (label, key)."""
-    chars = PREFIX_CHARS
-    while total / 16**chars > GROUP_ROWS:
-        chars += 1
-    prefixed = keyed.withColumn("prefix", F.substring("key", 1, chars))
-    # At most labels * 16**chars rows.
-    sizes = prefixed.groupBy("label", "prefix").agg(F.count(F.lit(1)).alias("n")).collect()
-    per_label: dict = defaultdict(list)
-    for row in sizes:
-        per_label[row["label"]].append((row["prefix"], row["n"]))
-    wanted: dict = {}
-    for label, targets in ranks.items():
-        seen, todo = 0, sorted(set(targets))
-        for prefix, n in sorted(per_label[label]):
-            while todo and seen < todo[0] <= seen + n:
-                wanted.setdefault((label, prefix), []).append((todo[0], todo[0] - seen))
-                todo.pop(0)
-            seen += n
-    if not wanted:
-        return {}
-    groups = small_table(
+    """Rows of every label; one number for each class."""
+    return {row[0]: row["n"] for row in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()}
+
+
+def _opened(keyed: DataFrame, groups: dict) -> DataFrame:
+    """Rows of ``keyed`` (label, key) inside the groups {(label, prefix): ...}, all of one prefix length."""
+    chars = len(next(iter(groups))[1])
+    table = small_table(
         keyed.sparkSession,
-        {"label": [k[0] for k in wanted], "prefix": [k[1] for k in wanted]},
+        {"label": [k[0] for k in groups], "prefix": [k[1] for k in groups]},
         f"label {dict(keyed.dtypes)['label']}, prefix string",
     )
+    return keyed.withColumn("prefix", F.substring("key", 1, chars)).join(F.broadcast(table), ["label", "prefix"])
+
+
+def _cutoffs(keyed: DataFrame, ranks: dict) -> dict:
+    """The hash at each wanted 1-based rank, per label. ``keyed`` has (label, key).
+
+    Every level counts the next ``PREFIX_CHARS`` characters inside the groups that
+    hold a wanted rank, so at most 16 ** PREFIX_CHARS numbers for each wanted rank
+    come to the driver, whatever the number of rows.
+    """
+    wanted = {(label, ""): [(r, r) for r in sorted(set(targets))] for label, targets in ranks.items() if targets}
+    chars = 0
+    while wanted:
+        chars += PREFIX_CHARS
+        rows = keyed if chars == PREFIX_CHARS else _opened(keyed, wanted)
+        prefix = F.substring("key", 1, chars)
+        sizes: dict = defaultdict(list)
+        for label, value, n in rows.groupBy("label", prefix.alias("p")).agg(F.count(F.lit(1))).collect():
+            sizes[(label, value[: chars - PREFIX_CHARS])].append((value, n))
+        deeper: dict = {}
+        largest = 0
+        for (label, upper), places in wanted.items():
+            seen, todo = 0, list(places)
+            for value, n in sorted(sizes[(label, upper)]):
+                while todo and seen < todo[0][1] <= seen + n:
+                    rank, local = todo.pop(0)
+                    deeper.setdefault((label, value), []).append((rank, local - seen))
+                    largest = max(largest, n)
+                seen += n
+        wanted = deeper
+        if largest <= GROUP_ROWS or chars + PREFIX_CHARS > KEY_CHARS:
+            break
+    if not wanted:
+        return {}
     inside = {(k[0], k[1], local): rank for k, pairs in wanted.items() for rank, local in pairs}
     picks = small_table(
         keyed.sparkSession,
@@ -69,14 +83,13 @@ def _cutoffs(keyed: DataFrame, ranks: dict, total: int) -> dict:
         f"label {dict(keyed.dtypes)['label']}, prefix string, place int",
     )
     place = F.row_number().over(W.partitionBy("label", "prefix").orderBy("key"))
-    ranked = prefixed.join(F.broadcast(groups), ["label", "prefix"]).withColumn("place", place)
-    rows = ranked.join(F.broadcast(picks), ["label", "prefix", "place"]).collect()
+    rows = _opened(keyed, wanted).withColumn("place", place).join(F.broadcast(picks), ["label", "prefix", "place"]).collect()
     return {(r["label"], inside[(r["label"], r["prefix"], r["place"])]): r["key"] for r in rows}
 
 
 def rank_cutoffs(df: DataFrame, ranks: dict, label: Column, id_column: str, seed: int) -> dict:
     keyed = df.select(label.alias("label"), shuffle_key(F.col(id_column), seed).alias("key"))
-    return _cutoffs(keyed, ranks, max((max(r) for r in ranks.values() if r), default=0))
+    return _cutoffs(keyed, ranks)
 
 
 def largest_remainder(counts: dict, draws: int) -> dict:

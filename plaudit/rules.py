@@ -187,6 +187,24 @@ SEED_LEXICON = (
 )
 
 # A small seed of (token, polarity -1..1, subjectivity 0..1), also our own.
+@dataclass(frozen=True)
+class PolarityRules:
+    """Words before a scored word that change its polarity.
+
+    An intensifier multiplies polarity and subjectivity, which stay within their
+    ranges; a negation, also one before the intensifier, turns and halves polarity.
+    """
+
+    negations: tuple[str, ...] = ("no", "not", "never", "n't", "don't", "doesn't", "didn't", "isn't", "wasn't", "can't", "won't")
+    negated_by: float = -0.5
+    intensifiers: tuple[tuple[str, float], ...] = (
+        ("absolutely", 1.5), ("barely", 0.5), ("extremely", 1.5), ("fairly", 0.9), ("highly", 1.3), ("incredibly", 1.5),
+        ("particularly", 1.2), ("quite", 1.1), ("rather", 0.9), ("really", 1.3), ("slightly", 0.5), ("so", 1.2),
+        ("somewhat", 0.7), ("too", 1.2), ("totally", 1.4), ("very", 1.3),
+    )
+
+
+DEFAULT_POLARITY = PolarityRules()
 SEED_POLARITY = (
     ("amazing", 0.6, 0.9), ("awful", -1.0, 1.0), ("bad", -0.7, 0.67),
     ("best", 1.0, 0.3), ("broken", -0.4, 0.4), ("cheap", 0.4, 0.7),

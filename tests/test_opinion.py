@@ -68,9 +68,11 @@ def test_same_result_for_any_partitioning_and_lookup(spark, monkeypatch):
 
 
 def test_polarity_and_columns(spark):
-    df = from_texts(spark, ["good and bad", "nothing here"])
+    df = from_texts(spark, ["good and bad", "nothing here", "not good", "very good", "not very good thing", "never mind, good"])
     got = {r["review_id"]: tuple(r)[1:] for r in score_polarity(df).collect()}
-    assert got == {0: (0.0, 0.635), 1: (0.0, 0.0)}
+    assert got == {
+        0: (0.0, 0.635), 1: (0.0, 0.0), 2: (-0.35, 0.6), 3: (0.91, 0.78), 4: (-0.455, 0.78), 5: (0.7, 0.6),
+    }
     assert sentiment_columns(df).columns == ["review_id", "sentiment_label", "sentiment_score", "polarity", "subjectivity"]
 
 
