@@ -56,9 +56,12 @@ def polarity(spark):
 
 
 def scored(spark, sf):
-    """Scored reviews, kept: some reports read them more than once."""
-    rows = ins.scored_reviews(reviews(spark, sf), lexicon(spark), RULES, GROUPS, DEFAULT, MARKERS)
-    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+    return ins.scored_reviews(reviews(spark, sf), lexicon(spark), RULES, GROUPS, DEFAULT, MARKERS)
+
+
+def kept(df):
+    """Rows that a report reads more than once."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def q_sentiment_scores(spark, sf):
@@ -117,14 +120,14 @@ def _flat(breakdown):
 
 
 def q_complaint_breakdown(spark, sf):
-    return _flat(ins.complaint_breakdown(scored(spark, sf)))
+    return _flat(ins.complaint_breakdown(kept(scored(spark, sf))))
 
 
 def q_top_complaints(spark, sf):
     """Rank of every category by count, ties by category list order."""
     from pyspark.sql import Window as W
 
-    breakdown = ins.complaint_breakdown(scored(spark, sf))
+    breakdown = ins.complaint_breakdown(kept(scored(spark, sf)))
     order = W.orderBy(F.desc("count"), ins.category_rank(F.col("category")))
     return breakdown.select(F.row_number().over(order).cast("bigint").alias("place"), "category", "count")
 

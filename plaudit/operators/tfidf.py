@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plaudit.operators.lookup import Lookup
 from plaudit.functions.text import word_ngrams
 from plaudit.sources.readers import small_table
 
@@ -123,10 +124,12 @@ def weigh_postings(
 ) -> DataFrame:
     """(id, term, weight) by joining term rows to a vocabulary (term, df).
 
-    The vocabulary is limited by its number of features, so it is broadcast.
-    Unknown terms vanish. One shuffle brings a review's weights together.
+    The vocabulary is a ``Lookup``: broadcast if it is measured to be small, else
+    joined with salted terms. Unknown terms vanish. One shuffle brings a review's
+    weights together.
     """
-    joined = postings.join(F.broadcast(vocabulary.select("term", "df")), "term")
+    lookup = Lookup(vocabulary.select("term", "df"), "term")
+    joined = lookup.join(postings, F.col("term"), {"df": "df"}, F.struct(id_column), how="inner")
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
     idf = F.log((documents + 1).cast("double") / (F.col("df") + 1).cast("double")) + 1
     raw = joined.select(id_column, "term", (tf * idf).alias("_w"))

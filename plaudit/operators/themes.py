@@ -158,5 +158,4 @@ def centroid_terms(postings: DataFrame, members: DataFrame) -> DataFrame:
     """(cluster, term, weight): mean weight per cluster, absent terms count as 0."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     sums = postings.join(members, "review_id").groupBy("cluster", "term").agg(F.sum("weight").alias("s"))
-    # One row per cluster.
-    return sums.join(F.broadcast(sizes), "cluster").select("cluster", "term", (F.col("s") / F.col("n")).alias("weight"))
+    return sums.join(sizes, "cluster").select("cluster", "term", (F.col("s") / F.col("n")).alias("weight"))

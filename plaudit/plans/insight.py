@@ -21,6 +21,10 @@ class Insights:
     complaints: DataFrame
     requests: DataFrame
 
+    def close(self) -> None:
+        """Release the kept rows; call it once the reports have been read."""
+        self.scored.unpersist()
+
 
 def generate_insights(
     reviews: DataFrame,
