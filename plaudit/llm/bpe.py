@@ -19,7 +19,7 @@ from plaudit.llm.common import mix64, span_hashes, text_bytes
 
 # Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 MAX_PIECES = 1 << 21  # remembered pieces for each worker; beyond it the memory starts anew
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # The characters that \s matches.

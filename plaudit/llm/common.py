@@ -61,10 +61,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+SLICE_ROWS = 1_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made of a part stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def map_columns(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], keep: list[str], schema: str
 ) -> DataFrame:
-    """Add computed columns to every Arrow batch, keeping the columns ``keep``.
+    """Add computed columns to Arrow batches, keeping the columns ``keep``.
 
     ``make()`` runs once per task and returns the function applied to batches.
     """
@@ -72,10 +83,8 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            if batch.num_rows:
-                made = work(batch)
-                yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in keep} | made)
+        for part in slices(batches):
+            yield pa.RecordBatch.from_pydict({name: part.column(name) for name in keep} | work(part))
 
     ordered = [name for name, _ in df.dtypes if name in keep]
     if ordered != keep:
@@ -122,7 +131,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

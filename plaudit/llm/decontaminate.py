@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import columns_of, map_columns, stage, text_bytes
+from plaudit.llm.common import columns_of, map_columns, slices, stage, text_bytes
 
 WINDOW = 10
 RAREST = 3
@@ -60,7 +60,8 @@ class Items:
 
 def _texts(column: pa.Array):
     raw, bounds = text_bytes(column)
-    data = raw.tobytes()
+    data = raw[bounds[0] : bounds[-1]].tobytes()
+    bounds = bounds - bounds[0]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         yield data[a:b]
 
@@ -90,7 +91,7 @@ def _term_counts(texts: DataFrame, block: Items) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(len(terms), dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in _texts(batch.column("text")):
                 found = [n for n in map(terms.get, words_of(text)) if n is not None]
                 if found:
@@ -121,7 +122,7 @@ def build_index(texts: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """The stored postings (term, text_key, positions) of ``terms``, in order of term."""
 
     def post(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = {"term": [], "text_key": [], "positions": []}
             for key, text in zip(batch.column("text_key").to_pylist(), _texts(batch.column("text"))):
                 places = defaultdict(list)

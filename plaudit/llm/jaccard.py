@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import attach, columns_of, map_columns, mix64, shingle_sets, stage
+from plaudit.llm.common import attach, columns_of, map_columns, mix64, shingle_sets, slices, stage
 from plaudit.llm.components import connected
 
 SHINGLE = 5
@@ -314,7 +314,7 @@ def _links(texts: DataFrame) -> DataFrame:
             found = link_block(np.array(names, dtype=np.int64), sets) if len(sets) > 1 else []
             return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-        for batch in batches:
+        for batch in slices(batches):
             for root, block, vertex, text in zip(*(batch.column(c).to_pylist() for c in ("root", "block", "vertex", "text"))):
                 if (root, block) != current:
                     if len(names) > 1:

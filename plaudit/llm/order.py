@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plaudit.llm.bpe import encoder
-from plaudit.llm.common import attach, columns_of, stage
+from plaudit.llm.common import attach, columns_of, slices, stage
 
 PAD = 0xFFFF
 ROUNDS = 6
@@ -74,7 +74,7 @@ def sequences(documents: DataFrame, config: OrderConfig) -> DataFrame:
     def cut(batches):
         encode = encoder(path)
         part, local = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, row = batch.column("doc_id").to_pylist(), 0
             for tokens, bounds in encode.encode(batch.column("text")):
                 out = {"doc_id": [], "seq_no": [], "n_tokens": [], "tokens": []}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import BROADCAST_ROWS, columns_of, map_columns, stage
+from plaudit.llm.common import BROADCAST_ROWS, columns_of, map_columns, slices, stage
 
 MIN_PAGES, MIN_SHARE = 8, 0.05
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
@@ -234,7 +234,7 @@ def templates_of(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     """(host_key, mark) of the subtrees that recur on many different pages of a host."""
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             seen = set()
             for host, source in zip(batch.column("host_key").to_pylist(), batch.column("html").to_pylist()):
                 page = Page(source or "")
@@ -273,7 +273,7 @@ def _with_marks(rows: DataFrame, templates: DataFrame) -> DataFrame:
     """Pages with the templates that they hold, by joins on marks and on the page's content."""
 
     def marks(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = {(host, key, mark) for host, key, source in zip(*(batch.column(c).to_pylist() for c in ("host_key", "key", "html")))
                    for mark in Page(source or "").candidates().values()}
             yield pa.RecordBatch.from_pydict({

@@ -28,7 +28,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaudit.llm.common import columns_of, lower_codes, map_columns, stage
+from plaudit.llm.common import columns_of, lower_codes, map_columns, slices, stage
 
 HELD_OUT_PARTS, HELD_OUT_PART = 4, 2
 THRESHOLD = 0.3
@@ -114,7 +114,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, config: ToxicityConfig
     def count(batches):
         counts = np.zeros((2, buckets), dtype=np.int64)
         rows = np.zeros(2, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             label = np.asarray(batch.column("label"), dtype=np.int64)
             rows += np.bincount(label, minlength=2)
             for row, bucket in _present(batch.column("text"), sizes, shift, None):
