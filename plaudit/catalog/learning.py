@@ -1,7 +1,7 @@
 """Models, oversampling, neighbours and themes.
 
-Query settings are small (few trees and rounds, 500 terms); the job defaults
-in ``TrainConfig`` are the full-size ones. All reviews are read whole.
+Queries run with the operators' own defaults (``TrainConfig``, ``ThemeConfig``) on all
+labelled rows; only ``q_centroids`` and what builds on it take the 200 terms of their SQL.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ from plaudit.plans.training import feature_table, train
 from plaudit.operators.report import result_summary, signed_score
 from plaudit.rules import SIGNAL_COLUMNS
 
-SMALL = TrainConfig(
-    max_features=500, lr_iterations=20, trees=10, tree_depth=6, rounds=3, round_depth=3, folds=0, scale_signals=True
-)
-THEMES = th.ThemeConfig(max_features=500)
+TRAINING = TrainConfig()
+THEMES = th.ThemeConfig()
+# The name by which the SQL below reads the vocabulary size.
+SMALL = TRAINING
 
 
-def _features(spark, sf, config=SMALL):
+def _features(spark, sf, config=TRAINING):
     data = labelled(spark, sf)
     model = fit_features(data, config)
     return model, feature_table(data, model)
@@ -48,19 +48,18 @@ _fitted: dict = {}
 
 
 def _model(spark, sf) -> AuthenticityModel:
-    """The small vote, trained once per session and data folder."""
+    """The vote, trained once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fitted:
         model, rows = _features(spark, sf)
-        _fitted[key] = AuthenticityModel(model, fit_vote(rows, SMALL))
+        _fitted[key] = AuthenticityModel(model, fit_vote(rows, TRAINING))
     return _fitted[key]
 
 
 def q_features(spark, sf):
     """Non-zero cells of the feature matrix: TF-IDF cells, then the raw signals."""
-    config = replace(SMALL, scale_signals=False)
     data = labelled(spark, sf)
-    rows = fit_features(data, config).transform(data).select("review_id", F.unwrap_udt("features").alias("v"))
+    rows = fit_features(data, TRAINING).transform(data).select("review_id", F.unwrap_udt("features").alias("v"))
     dense = F.when(F.col("v.indices").isNull(), F.sequence(F.lit(0), F.size("v.values") - 1)).otherwise(F.col("v.indices"))
     cells = F.filter(F.arrays_zip(dense.alias("i"), F.col("v.values").alias("x")), lambda e: e["x"] != 0)
     return rows.select("review_id", F.explode_outer(cells).alias("e")).filter("e is not null").select(
@@ -71,7 +70,7 @@ def q_features(spark, sf):
 def _member(name: str):
     def query(spark, sf):
         _, rows = _features(spark, sf)
-        vote = fit_vote(rows, replace(SMALL, members=(name,)))
+        vote = fit_vote(rows, replace(TRAINING, members=(name,)))
         return vote.transform(rows).select("row_key", "label", "predicted", F.round("genuine", 6).alias("genuine"))
 
     return query
@@ -115,18 +114,16 @@ def q_neighbours(spark, sf):
 
 def q_cross_validate(spark, sf):
     _, rows = _features(spark, sf)
-    config = replace(SMALL, folds=3, members=("lr", "rf"))
-    return cross_validate(stratified_folds(rows, "label", "row_key", config.folds), config)
+    return cross_validate(stratified_folds(rows, "label", "row_key", TRAINING.folds), TRAINING)
 
 
 def q_train_evaluate(spark, sf):
     """The whole training job with its run log."""
-    return train(labelled(spark, sf), SMALL, "catalogue").run
+    return train(labelled(spark, sf), TRAINING, "catalogue").run
 
 
 def q_train_legacy(spark, sf):
-    config = replace(LEGACY_CONFIG, max_features=500, lr_iterations=20)
-    return train(labelled(spark, sf), config, "legacy").report
+    return train(labelled(spark, sf), LEGACY_CONFIG, "legacy").report
 
 
 def q_kmeans_themes(spark, sf):
@@ -134,13 +131,13 @@ def q_kmeans_themes(spark, sf):
 
 
 def q_topics_legacy(spark, sf):
-    return th.topic_lines(reviews(spark, sf), replace(th.LEGACY_THEMES, max_features=500))
+    return th.topic_lines(reviews(spark, sf), th.LEGACY_THEMES)
 
 
 def q_centroids(spark, sf):
     """Mean term weight per document source, from long-form weights."""
     data = reviews(spark, sf)
-    tokens = feature_tokens(SMALL)
+    tokens = feature_tokens(TRAINING)
     postings = tf.posting_rows(data, tokens)
     vocabulary = tf.top_terms(tf.term_statistics(postings), 200)
     weights = tf.weigh_postings(postings, vocabulary, F.lit(data.count()))
