@@ -8,7 +8,11 @@
 3. ``phrase_candidates`` shifts each list by the word's offset in the window and
    intersects the lists: a text and start survive if every chosen word stands there.
 4. ``window_hits`` compares the surviving places word by word with the whole text.
-``proximity_matches`` uses the same lists with a tolerance instead of equal starts.
+With ``slop`` > 0, ``proximity_matches`` takes the place of step 3: it uses the same
+lists with a tolerance instead of equal starts, and finds the exact places too. A window
+is near where at most ``slop`` words for every ``WINDOW`` of its own are put in, left out
+or replaced; windows shorter than that are near only where they are exact. Step 4 then
+checks all words of the window for both, and exact hits stay as they are.
 
 Items are worked off in blocks of about ``BLOCK_WORDS`` words, so what is broadcast has
 a bound and any number of items costs passes, not memory. Training texts are keyed by
@@ -35,6 +39,7 @@ from plaudit.llm.common import columns_of, map_columns, slices, stage, text_byte
 
 WINDOW = 10
 RAREST = 3
+SLOP = 1
 BLOCK_WORDS = 400_000
 BROADCAST_BYTES = 32 << 20
 
@@ -105,17 +110,27 @@ def _term_counts(texts: DataFrame, block: Items) -> np.ndarray:
     return counts
 
 
-def _rarest(block: Items, counts: np.ndarray, rarest: int) -> list[list[tuple[int, int]]]:
-    """(term, offset) of the words chosen for every window; none if some word is nowhere."""
-    chosen = []
+def _tolerance(length: int, slop: int) -> int:
+    """Words of a window of this length that may be put in, left out or replaced."""
+    return slop * (length // WINDOW)
+
+
+def _rarest(block: Items, counts: np.ndarray, rarest: int, slop: int = 0) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """(term, offset) of the rarest words of every window that occur, and how many of them may be missing.
+
+    A word that is nowhere uses up one edit of the window; each edit left can spoil one
+    chosen word. With more such words than edits there is no place and nothing is chosen.
+    """
+    chosen, spare = [], []
     for item, first, length in block.windows:
         terms = block.words[item][first : first + length]
-        if min(counts[t] for t in terms) == 0:
-            chosen.append([])
-            continue
-        offsets = sorted(range(length), key=lambda o: (counts[terms[o]], terms[o], o))
-        chosen.append([(terms[o], o) for o in offsets[:rarest]])
-    return chosen
+        there = [o for o in range(length) if counts[terms[o]]]
+        left = _tolerance(length, slop) - (length - len(there))
+        offsets = sorted(there, key=lambda o: (counts[terms[o]], terms[o], o))[: max(rarest, left + 1)]
+        usable = left >= 0 and len(offsets) > left
+        chosen.append([(terms[o], o) for o in offsets] if usable else [])
+        spare.append(left if usable else 0)
+    return chosen, spare
 
 
 def build_index(texts: DataFrame, terms: dict[bytes, int]) -> DataFrame:
@@ -141,64 +156,102 @@ def build_index(texts: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     return stage(postings.sortWithinPartitions("term", "text_key"))
 
 
-def _shifted(index: DataFrame, chosen: list[list[tuple[int, int]]]) -> DataFrame:
-    """window, wanted, text_key, rank, start: a chosen word's positions less its offset."""
-    rows = [(t, w, r, o, len(keys)) for w, keys in enumerate(chosen) for r, (t, o) in enumerate(keys)]
-    keys = index.sparkSession.createDataFrame(
-        pa.table({k: list(v) for k, v in zip(("term", "window", "rank", "offset", "wanted"), zip(*rows))}),
-        "term long, window long, rank long, offset long, wanted long",
+def _keys(index: DataFrame, chosen: list[list[tuple[int, int]]], spare: list[int]) -> DataFrame:
+    """term, window, rank, offset of the chosen words; for each window also how many are wanted and the last rank that leads."""
+    rows = [(t, w, r, o, len(keys) - spare[w], spare[w]) for w, keys in enumerate(chosen) for r, (t, o) in enumerate(keys)]
+    return index.sparkSession.createDataFrame(
+        pa.table({k: list(v) for k, v in zip(("term", "window", "rank", "offset", "wanted", "lead"), zip(*rows))}),
+        "term long, window long, rank int, offset int, wanted int, lead int",
     )
-    joined = index.join(F.broadcast(keys), "term").select("window", "wanted", "text_key", "rank", "offset", F.explode("positions").alias("at"))
-    return joined.select("window", "wanted", "text_key", "rank", (F.col("at") - F.col("offset")).alias("start")).filter("start >= 0")
 
 
 def phrase_candidates(index: DataFrame, chosen: list[list[tuple[int, int]]]) -> DataFrame:
-    """(window, text_key, start) at which all chosen words of a window stand."""
-    lists = _shifted(index, chosen)
+    """(window, text_key, start) at which all chosen words of a window stand: positions less the offset, intersected."""
+    joined = index.join(F.broadcast(_keys(index, chosen, [0] * len(chosen))), "term").select("window", "wanted", "text_key", "offset", F.explode("positions").alias("at"))
+    lists = joined.select("window", "wanted", "text_key", (F.col("at") - F.col("offset")).cast("long").alias("start")).filter("start >= 0")
     met = lists.groupBy("window", "text_key", "start").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
     return met.filter("n = wanted").select("window", "text_key", "start")
 
 
-def proximity_matches(index: DataFrame, chosen: list[list[tuple[int, int]]], slop: int) -> DataFrame:
-    """(window, text_key, start): all chosen words, each within ``slop`` words of its place.
+def proximity_matches(index: DataFrame, chosen: list[list[tuple[int, int]]], slop: int, spare: list[int] | None = None) -> DataFrame:
+    """(window, text_key, start): the chosen words, each within ``slop`` words of its place.
 
-    ``start`` is the first of every run of starts of the rarest word for which all
-    others lie at most ``slop`` away; ``slop=0`` gives the phrase candidates.
+    ``spare`` says for every window how many chosen words may be missing (none by default).
+    ``start`` is every start of one of the ``spare`` + 1 rarest words for which enough others
+    lie at most ``slop`` away; ``slop=0`` without spare words gives the phrase candidates.
     """
-    lists = _shifted(index, chosen)
-    lead = lists.filter("rank = 0").withColumn("near", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)))
-    rest = lists.select("window", "text_key", F.col("rank").alias("r"), F.col("start").alias("near"))
-    met = lead.join(rest, ["window", "text_key", "near"]).groupBy("window", "text_key", "start").agg(
-        F.count_distinct("r").alias("n"), F.first("wanted").alias("wanted")
+    keys = _keys(index, chosen, spare or [0] * len(chosen))
+    # One narrow row for each word of a window in a text is moved; places are spread only in texts with enough of the words.
+    starts = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda s: s >= -slop)
+    code = F.expr("window * 65536 + wanted * 256 + lead").alias("code")
+    lists = index.join(F.broadcast(keys), "term").select(code, "text_key", F.struct("rank", starts.alias("starts")).alias("list"))
+    wanted, lead = F.expr("code div 256 % 256"), F.expr("code % 256")
+    held = lists.groupBy("code", "text_key").agg(F.collect_list("list").alias("lists")).filter(F.size("lists") >= wanted)
+    each = held.select("code", "text_key", F.explode("lists").alias("list"))
+    own = each.select("code", "text_key", "list.rank", F.explode("list.starts").alias("own"))
+    spread = own.select("code", "text_key", "rank", "own", F.explode(F.sequence(F.col("own") - slop, F.col("own") + slop)).alias("start"))
+    met = spread.groupBy("code", "text_key", "start").agg(
+        F.bit_or(F.expr("shiftleft(1L, rank)")).alias("ranks"),
+        F.max((F.col("rank") <= lead) & (F.col("own") == F.col("start"))).alias("leads"),
     )
-    return met.filter("n = wanted").select("window", "text_key", "start")
+    return met.filter(F.col("leads") & (F.bit_count("ranks") >= wanted)).select(
+        F.expr("code div 65536").alias("window"), "text_key", F.col("start").cast("long").alias("start")
+    )
+
+
+def _within(words: list[int], text: list, edits: int) -> bool:
+    """Whether ``text`` begins with ``words`` but for so many words put in, left out or replaced."""
+    at = 0
+    while at < len(words) and at < len(text) and words[at] == text[at]:
+        at += 1
+    if len(words) - at <= edits:
+        return True
+    if not edits:
+        return False
+    words, text = words[at:], text[at:]
+    return (
+        _within(words[1:], text[1:], edits - 1) or _within(words[1:], text, edits - 1)
+        or bool(text) and _within(words, text[1:], edits - 1)
+    )
+
+
+def near_at(words: list[int], text: list, at: int, slop: int) -> bool:
+    """Whether a place of ``text`` that begins at most ``slop`` words from ``at`` is near ``words``."""
+    edits = _tolerance(len(words), slop)
+    size = len(words) + edits
+    return any(_within(words, text[a : a + size], edits) for a in range(max(0, at - edits), max(0, at + edits) + 1))
 
 
-def _marked(rows: DataFrame, block: Items) -> DataFrame:
-    """Exact check of the candidate places of every text: hit runs of words, and items."""
+def _marked(rows: DataFrame, block: Items, slop: int) -> DataFrame:
+    """Check of the candidate places of every text: exact hit runs of words, their items, and near items."""
     terms, windows, words = block.terms, block.windows, block.words
     names = [None if i is None else str(i) for i in block.ids]
 
     def make():
         def work(batch):
-            spans, items = [], []
+            spans, items, near, loose = [], [], [], []
             for text, places in zip(_texts(batch.column("text")), batch.column("places").to_pylist()):
-                hits, met = [], set()
+                hits, met, close = [], set(), set()
                 numbers = list(map(terms.get, words_of(text)))
                 for place in places:
                     item, first, length = windows[place["window"]]
                     at = place["start"]
-                    if numbers[at : at + length] == words[item][first : first + length]:
+                    if at >= 0 and numbers[at : at + length] == words[item][first : first + length]:
                         hits.append((at, at + length))
                         met.add(names[item])
+                    elif slop and item not in close and near_at(words[item][first : first + length], numbers, at, slop):
+                        close.add(item)
                 spans.append([{"a": a, "b": b} for a, b in merged(hits)])
                 items.append(sorted(met - {None}))
+                near.append(sorted((met | {names[i] for i in close}) - {None}))
+                loose.append(bool(hits or close))
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            return {"spans": pa.array(spans, kind), "items": pa.array(items, pa.list_(pa.string()))}
+            return {"spans": pa.array(spans, kind), "items": pa.array(items, pa.list_(pa.string())),
+                    "near_items": pa.array(near, pa.list_(pa.string())), "near": pa.array(loose, pa.bool_())}
 
         return work
 
-    return map_columns(rows, make, rows.columns, "spans array<struct<a:int,b:int>>, items array<string>")
+    return map_columns(rows, make, rows.columns, "spans array<struct<a:int,b:int>>, items array<string>, near_items array<string>, near boolean")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -218,26 +271,30 @@ def _few(df: DataFrame, row_bytes: Column) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def window_hits(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
-    """(text_key, text_md5, spans, items) of every text with a hit; ``texts`` has text_key and text."""
+def window_hits(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, rarest: int = RAREST, slop: int = 0) -> DataFrame:
+    """(text_key, text_md5, spans, items, near_items) of every text with a hit; ``texts`` has text_key and text.
+
+    With ``slop`` also the texts that are only near an item; they have no spans.
+    """
     found = texts.sparkSession.createDataFrame(
-        [], "text_key long, text_md5 string, spans array<struct<a:int,b:int>>, items array<string>"
+        [], "text_key long, text_md5 string, spans array<struct<a:int,b:int>>, items array<string>, near_items array<string>"
     )
     for block in _blocks(benchmark, window):
-        chosen = _rarest(block, _term_counts(texts, block), rarest)
+        chosen, spare = _rarest(block, _term_counts(texts, block), rarest, slop)
         used = {t for keys in chosen for t, _ in keys}
         if not used:
             continue
         index = build_index(texts, {w: n for w, n in block.terms.items() if n in used})
-        met = phrase_candidates(index, chosen).groupBy("text_key")
+        edits = _tolerance(window, slop)
+        met = (proximity_matches(index, chosen, edits, spare) if edits else phrase_candidates(index, chosen)).groupBy("text_key")
         places = stage(met.agg(F.collect_list(F.struct("window", "start")).alias("places")))
         held = texts.join(_few(places, 16 * F.size("places") + 64), "text_key").select("text_key", "text", "places")
-        marked = _marked(held, block).filter("size(spans) > 0")
-        hit = marked.select("text_key", F.md5("text").alias("text_md5"), "spans", "items")
+        marked = _marked(held, block, slop).filter("near")
+        hit = marked.select("text_key", F.md5("text").alias("text_md5"), "spans", "items", "near_items")
         found = found.unionByName(hit.dropDuplicates(["text_key", "text_md5"]))
     merged_rows = found.groupBy("text_key", "text_md5").agg(
         F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")],
     )
     return stage(merged_rows)
 
@@ -264,18 +321,23 @@ def _counted(docs: DataFrame) -> DataFrame:
     return map_columns(docs, make, docs.columns, "n_words long")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document.
+
+    These are exact. With ``slop`` also n_near_items: the items, exact ones among them, of
+    which the text holds a window with up to so many words put in, left out or replaced.
+    """
     docs = columns_of(documents, "doc_id", "text")
-    hits = window_hits(docs.select("text", F.xxhash64("text").alias("text_key")), benchmark, window)
+    hits = window_hits(docs.select("text", F.xxhash64("text").alias("text_key")), benchmark, window, slop=slop)
     narrow = _counted(_keyed(docs, "text")).drop("text")
-    size = 12 * F.size("spans") + F.length(F.array_join("items", ",")) + 128
+    size = 12 * F.size("spans") + F.length(F.array_join("items", ",")) + F.length(F.array_join("near_items", ",")) + 128
     joined = narrow.join(_few(hits, size), ["text_key", "text_md5"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = covered(F.col("spans"))
+    near = [F.coalesce(F.size("near_items"), F.lit(0)).cast("long").alias("n_near_items")] if slop else []
     return joined.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *near,
     )
 
 
