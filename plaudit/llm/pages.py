@@ -3,11 +3,13 @@
 1. Each page is cut into elements and blocks of text. Elements that hold no main text by
    their kind (menus, forms, scripts, ...) or by the words of their class, id or role
    (adverts, comments, notices, ...) are left out, as is everything outside ``main`` or
-   ``article`` where a page has one.
+   ``article`` where a page has one. Words of class, id and role never leave out an element
+   around the page's ``main``, or around its only articles.
 2. Every other block-level subtree is hashed (tag and text, from the leaves up), and the
    hashes are counted per host: on how many pages with different content each occurs.
-3. Subtrees that recur on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's
-   different pages are deleted. Prose inside the main element (paragraphs, headings,
+3. Subtrees that recur on at least ``MIN_PAGES`` different pages are deleted, whatever the
+   size of the host; on a host of ``LEAST_PAGES`` to ``MIN_PAGES`` different pages, those
+   that are on all of them. A smaller host shows no recurrence and loses nothing. Prose inside the main element (paragraphs, headings,
    lists, quotations, tables) is never deleted, so a passage that articles share, or an
    article with many copies, is no template; copies of a page count once.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from plaudit.llm.common import BROADCAST_ROWS, columns_of, map_columns, slices, stage
 
-MIN_PAGES, MIN_SHARE = 8, 0.05
+MIN_PAGES, LEAST_PAGES = 8, 5
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
 _TOKEN = re.compile(
@@ -80,7 +82,17 @@ class Page:
     """Blocks of text with their elements, and the elements' parents, marks and hashes."""
 
     def __init__(self, source: str) -> None:
+        self.exempt: set[int] = set()
+        self._parse(source)
+        self.exempt = self._holders()
+        if self.exempt:  # elements have the same numbers again
+            self._parse(source)
+        self.main = self._main()
+
+    def _parse(self, source: str) -> None:
         self.tags, self.parents, self.dropped = ["#"], [-1], [False]
+        self.named: set[int] = set()
+        self.kinds: set[int] = set()
         self.parts: list[list[str]] = [[]]
         self.blocks: list[tuple[str, int]] = []
         self.stack, self.pending, self.owner = [0], [], 0
@@ -88,7 +100,18 @@ class Page:
         while len(self.stack) > 1:
             self._close()
         self._flush()
-        self.main = self._main()
+
+    def _holders(self) -> set[int]:
+        """Elements left out by their words alone around the page's main element, or else around its only articles."""
+        for wanted in ("main", "article"):
+            found = [e for e, tag in enumerate(self.tags) if tag == wanted and e not in self.named]
+            if any(not self.dropped[e] for e in found):
+                return set()
+            lost = [set(self.above(e)) for e in found]
+            lost = [above & self.named for above in lost if not above & self.kinds]
+            if lost:
+                return set().union(*lost)
+        return set()
 
     def _flush(self) -> None:
         text = " ".join("".join(self.pending).split())
@@ -99,7 +122,13 @@ class Page:
 
     def _open(self, tag: str, attributes: str) -> None:
         inner = next((e for e in reversed(self.stack) if self.tags[e] in ("article", "main")), None)
-        away = tag in _DROPPED or (tag == "header" and inner is None) or _named_away(tag, attributes)
+        number = len(self.tags)
+        away = tag in _DROPPED or (tag == "header" and inner is None)
+        if away:
+            self.kinds.add(number)
+        elif number not in self.exempt and _named_away(tag, attributes):
+            self.named.add(number)
+            away = True
         self.tags.append(tag)
         self.parents.append(self.stack[-1])
         self.dropped.append(away or self.dropped[self.stack[-1]])
@@ -230,7 +259,7 @@ def _signed(values) -> np.ndarray:
     return np.array(list(values), dtype=np.uint64).view(np.int64)
 
 
-def templates_of(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates_of(pages: DataFrame, min_pages: int = MIN_PAGES, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host_key, mark) of the subtrees that recur on many different pages of a host."""
 
     def count(batches):
@@ -247,9 +276,9 @@ def templates_of(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
             })
 
     rows = pages.select("host_key", "html").mapInArrow(count, "host_key long, page long, mark long")
-    counts = stage(rows.distinct().groupBy("host_key", "mark").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= min_pages) | (F.col("mark") == 0)))
+    counts = stage(rows.distinct().groupBy("host_key", "mark").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least_pages) | (F.col("mark") == 0)))
     totals = counts.filter("mark = 0").select("host_key", F.col("n").alias("pages"))
-    many = counts.filter("mark <> 0").join(totals, "host_key").filter(F.col("n") >= min_share * F.col("pages"))
+    many = counts.filter("mark <> 0").join(totals, "host_key").filter(F.col("n") >= F.least(F.lit(min_pages), "pages"))
     return stage(many.select("host_key", "mark"))
 
 
