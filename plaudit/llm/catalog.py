@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaudit.llm import decontaminate, hostrules, jaccard, mixing, order, pages, secrets, tokencount, toxicity, urlfilter
+from plaudit.llm import (
+    decontaminate, hostrules, jaccard, mixing, order, pages, prefixtrie, secrets, tokencount, toxicity, urlfilter,
+)
 from plaudit.llm.common import new_stage, stage
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -123,12 +125,16 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_lists": _URL_LISTS, "op10_host_rules": _HOST_RULES}
+    return {"op8_url_lists": _URL_LISTS, "op10_host_rules": _HOST_RULES, "op12_prefix_trie": _PREFIX_TRIE}
 
 
 _URL_LISTS = r"""
@@ -194,3 +200,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND greatest(ra, rb, rc) <= 0.5 AS kept, round(rc, 6) AS host_rate
 FROM failed JOIN rates ON failed.source IS NOT DISTINCT FROM rates.source
 """
+
+
+# CRC-32 of the decimal conv_id, bit by bit: a byte is put in, then eight shifts (the -1s).
+_PREFIX_TRIE = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id, turn
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, id, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, id) AS pos FROM turns),
+own AS (
+  SELECT conv_id, count(*) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+           lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM turns GROUP BY conv_id),
+bases AS (SELECT o.conv_id, o.h, least(o.h, coalesce(b.n, 0)) AS lent, o.conv_id - o.conv_id % 100 AS base FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+made AS (
+  SELECT b.conv_id, p.pos, p.id, p.size FROM bases b JOIN placed p ON p.conv_id = b.base AND p.pos <= b.lent
+  UNION ALL SELECT b.conv_id, p.pos - b.h + b.lent, p.id, p.size FROM bases b JOIN placed p ON p.conv_id = b.conv_id AND p.pos > b.h),
+paths AS (
+  SELECT conv_id, pos AS depth, size, md5(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY pos)) AS key FROM made
+  UNION ALL SELECT conv_id, 0, 0, '' FROM own),
+lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+linked AS (SELECT p.*, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS above, p.depth = l.n AS ends FROM paths p JOIN lengths l USING (conv_id)),
+nodes AS (
+  SELECT key, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended
+  FROM linked GROUP BY key, depth),
+kids AS (SELECT above AS key, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT p.key, p.depth, sum((n.n_convs - 1) * n.size) AS saved, count_if(k.n IS NULL) AS leaves
+  FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN kids k ON k.key = n.key AND k.depth = n.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0)::BIGINT AS n_children,
+       s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(n.ended) AS ends_sha256
+FROM nodes n LEFT JOIN kids k ON k.key = n.key AND k.depth = n.depth JOIN sums s ON s.key = n.key AND s.depth = n.depth
+LEFT JOIN nodes u ON u.key = n.above AND u.depth = n.depth - 1
+"""
