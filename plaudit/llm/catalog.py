@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaudit.llm import (
-    decontaminate, hostrules, jaccard, mixing, order, pages, prefixtrie, secrets, tokencount, toxicity, urlfilter,
+    collocation, decontaminate, hostrules, jaccard, lmscore, mixing, order, pages, prefixtrie, secrets, tokencount, toxicity,
+    urlfilter,
 )
 from plaudit.llm.common import new_stage, stage
 
@@ -125,16 +126,24 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lm_scores(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def queries() -> dict:
     return {name: value for name, value in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_lists": _URL_LISTS, "op10_host_rules": _HOST_RULES, "op12_prefix_trie": _PREFIX_TRIE}
+    return {"op8_url_lists": _URL_LISTS, "op10_host_rules": _HOST_RULES, "op11_collocations": _COLLOCATIONS, "op12_prefix_trie": _PREFIX_TRIE}
 
 
 _URL_LISTS = r"""
@@ -236,3 +245,29 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_con
 FROM nodes n LEFT JOIN kids k ON k.key = n.key AND k.depth = n.depth JOIN sums s ON s.key = n.key AND s.depth = n.depth
 LEFT JOIN nodes u ON u.key = n.above AND u.depth = n.depth - 1
 """
+
+
+_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+grams AS (SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM runs),
+f AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+found AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+whole AS (
+  SELECT * FROM found c WHERE NOT EXISTS (
+    SELECT 1 FROM found b WHERE b.lang = c.lang AND b.k > c.k AND b.a >= c.a AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS c FROM whole),
+scored AS (
+  SELECT x.lang, x.phrase, x.a, g.a AS l, h.a AS r, n, c, (1000::HUGEINT * x.a * n) // (g.a::HUGEINT * h.a) AS score
+  FROM cuts x JOIN totals USING (lang)
+  JOIN f g ON g.lang = x.lang AND g.phrase = array_to_string(list_slice(w, 1, c), ' ')
+  JOIN f h ON h.lang = x.lang AND h.phrase = array_to_string(list_slice(w, c + 1, x.k), ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM weakest QUALIFY rank <= 2000
+"""
