@@ -14,6 +14,8 @@ from plaudit.llm import (
 from plaudit.llm.common import new_stage, stage
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+# The documents are in several languages; scores go by the vocabulary made for many.
+LM_VOCABULARY = os.environ.get("LM_TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 SOURCE_WEIGHTS, MAX_REPEATS, MIX_SEED = (5, 2, 1), 3, 42
 
 
@@ -135,7 +137,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.lm_scores(table(spark, sf_dir, "documents"), VOCABULARY)
+    return lmscore.lm_scores(table(spark, sf_dir, "documents"), LM_VOCABULARY)
 
 
 def queries() -> dict:
