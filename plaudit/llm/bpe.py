@@ -20,7 +20,8 @@ from plaudit.llm.common import mix64, span_hashes, text_bytes
 # Fixed value: the pattern that the vocabulary was made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_CHARS = 1 << 17
-MAX_PIECES = 1 << 21  # remembered pieces for each worker; beyond it the memory starts anew
+FIRST_PIECES = 1 << 14
+MAX_PIECES = 1 << 21  # remembered pieces for each worker; tables grow up to it, beyond it the memory starts anew
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 # The characters that \s matches.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -75,12 +76,28 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._slots = 2 * MAX_PIECES
-        self._keys = np.zeros(self._slots, dtype=np.uint64)
-        self._piece = np.zeros(self._slots, dtype=np.int32)
         self._known = 0
-        self._first = np.zeros(MAX_PIECES + 1, dtype=np.int64)
-        self._tokens = np.zeros(1 << 20, dtype=np.uint16)
+        self._first = np.zeros(FIRST_PIECES + 1, dtype=np.int64)
+        self._tokens = np.zeros(1 << 18, dtype=np.uint16)
+        self._names = np.zeros(FIRST_PIECES, dtype=np.uint64)
+        self._rehash(4 * FIRST_PIECES)
+
+    def _rehash(self, slots: int) -> None:
+        """A table of so many places with all known pieces."""
+        self._slots = slots
+        self._keys = np.zeros(slots, dtype=np.uint64)
+        self._piece = np.zeros(slots, dtype=np.int32)
+        self._place(self._names[: self._known], np.arange(self._known))
+
+    def _place(self, keys: np.ndarray, number: np.ndarray) -> None:
+        slot, open_ = (keys % np.uint64(self._slots)).astype(np.int64), np.arange(len(keys))
+        while len(open_):
+            free = open_[self._keys[slot[open_]] == 0]
+            self._keys[slot[free]] = keys[free]
+            placed = self._keys[slot[open_]] == keys[open_]
+            self._piece[slot[open_[placed]]] = number[open_[placed]]
+            open_ = open_[~placed]
+            slot[open_] = (slot[open_] + 1) % self._slots
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Number of the piece with each key, or -1."""
@@ -103,17 +120,18 @@ class Encoder:
         while used + len(flat) > len(self._tokens):
             self._tokens = np.concatenate((self._tokens, np.zeros_like(self._tokens)))
         self._tokens[used : used + len(flat)] = flat
-        self._first[self._known + 1 : self._known + 1 + len(lists)] = used + np.cumsum(sizes)
-        number = np.arange(self._known, self._known + len(lists))
-        slot, open_ = (keys % np.uint64(self._slots)).astype(np.int64), np.arange(len(keys))
-        while len(open_):
-            free = open_[self._keys[slot[open_]] == 0]
-            self._keys[slot[free]] = keys[free]
-            placed = self._keys[slot[open_]] == keys[open_]
-            self._piece[slot[open_[placed]]] = number[open_[placed]]
-            open_ = open_[~placed]
-            slot[open_] = (slot[open_] + 1) % self._slots
-        self._known += len(lists)
+        upto = self._known + len(lists)
+        while upto > len(self._names):
+            self._names = np.concatenate((self._names, np.zeros_like(self._names)))
+            self._first = np.concatenate((self._first, np.zeros(len(self._first) - 1, dtype=np.int64)))
+        self._first[self._known + 1 : upto + 1] = used + np.cumsum(sizes)
+        self._names[self._known : upto] = keys
+        number = np.arange(self._known, upto)
+        self._known = upto
+        if 2 * upto > self._slots:
+            self._rehash(4 * len(self._names))
+        else:
+            self._place(keys, number)
 
     def encode(self, column: pa.Array):
         """Yields (token numbers, bounds) for some rows at a time; null is an empty text."""

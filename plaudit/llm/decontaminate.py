@@ -2,11 +2,12 @@
 
 1. Items are cut into windows of ``WINDOW`` consecutive words (a shorter item is one
    window). One pass counts how often each item word occurs in the training texts.
-2. ``build_index`` stores postings (term, text key, positions) of the terms that some
-   window has among its ``RAREST`` rarest words; frequent words are posted only where a
-   window has nothing rarer.
-3. ``phrase_candidates`` shifts each list by the word's offset in the window and
-   intersects the lists: a text and start survive if every chosen word stands there.
+2. ``build_index`` stores postings (term, text, position) of the terms that some window has
+   among its ``RAREST`` rarest words; frequent words are posted only where a window has
+   nothing rarer. The index is distributed by texts: a shard has all lists of its texts.
+3. ``phrase_candidates`` goes through the list of each window's rarest word, shifted by the
+   word's offset, and probes the other chosen words' lists at these places only: a text and
+   start survive if every chosen word stands there.
 4. ``window_hits`` compares the surviving places word by word with the whole text.
 With ``slop`` > 0, ``proximity_matches`` takes the place of step 3: it uses the same
 lists with a tolerance instead of equal starts, and finds the exact places too. A window
@@ -16,7 +17,7 @@ checks all words of the window for both, and exact hits stay as they are.
 
 Items are worked off in blocks of about ``BLOCK_WORDS`` words, so what is broadcast has
 a bound and any number of items costs passes, not memory. Training texts are keyed by
-a hash of their content: copies are posted once and found together.
+a hash of their content: places of copies are united and found together.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case. Null, empty
 and wordless texts have no words and no hits; such items have no windows. A null
@@ -27,7 +28,6 @@ kept (``drop_contaminated``). Empty tables give empty or clean results.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ WINDOW = 10
 RAREST = 3
 SLOP = 1
 BLOCK_WORDS = 400_000
+SHARD_PLACES = 1 << 18
 BROADCAST_BYTES = 32 << 20
 
 # Bytes between words become blanks, A-Z become a-z; bytes from 0x80 on are letters.
@@ -90,21 +91,19 @@ def _blocks(benchmark: DataFrame, window: int):
             yield block
 
 
-def _term_counts(texts: DataFrame, block: Items) -> np.ndarray:
+def _term_counts(texts: DataFrame, shared) -> np.ndarray:
     """Occurrences of every term of the block in the training texts."""
-    terms = block.terms
+    size = len(shared.value.terms)
 
     def count(batches):
-        total = np.zeros(len(terms), dtype=np.int64)
+        terms, total = shared.value.terms, np.zeros(size, dtype=np.int64)
         for batch in slices(batches):
-            for text in _texts(batch.column("text")):
-                found = [n for n in map(terms.get, words_of(text)) if n is not None]
-                if found:
-                    total += np.bincount(np.array(found), minlength=len(terms))
+            found = [n for text in _texts(batch.column("text")) for n in map(terms.get, words_of(text)) if n is not None]
+            total += np.bincount(np.array(found, dtype=np.int64), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": pa.array(seen, pa.int64()), "n": pa.array(total[seen])})
 
-    counts = np.zeros(len(terms), dtype=np.int64)
+    counts = np.zeros(size, dtype=np.int64)
     for term, n in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
         counts[term] = n
     return counts
@@ -134,43 +133,90 @@ def _rarest(block: Items, counts: np.ndarray, rarest: int, slop: int = 0) -> tup
 
 
 def build_index(texts: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """The stored postings (term, text_key, positions) of ``terms``, in order of term."""
+    """The stored postings of ``terms`` in shards of some texts.
+
+    A shard is one row: the keys of its texts, and its postings (term, text, place) in order
+    as arrays of integers. All lists of a text stand in one shard, so intersecting lists moves
+    nothing between tasks. ``SHARD_PLACES`` bounds a shard, unless one text has more.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def shard(keys, found):
+        numbers = np.repeat(np.arange(len(found), dtype=np.int64), [len(f[0]) for f in found])
+        at, term = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.lexsort((at, numbers, term))
+        arrays = (np.array(keys, dtype=np.int64), term[order].astype(np.int32), numbers[order].astype(np.int32), at[order].astype(np.int32))
+        return pa.RecordBatch.from_pydict({name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("keys", "terms", "texts", "places"), arrays)})
 
     def post(batches):
+        known = shared.value
         for batch in slices(batches):
-            rows = {"term": [], "text_key": [], "positions": []}
+            keys, found, size = [], [], 0
             for key, text in zip(batch.column("text_key").to_pylist(), _texts(batch.column("text"))):
-                places = defaultdict(list)
-                for at, n in enumerate(map(terms.get, words_of(text))):
-                    if n is not None:
-                        places[n].append(at)
-                rows["term"].extend(places)
-                rows["text_key"].extend([key] * len(places))
-                rows["positions"].extend(places.values())
-            yield pa.RecordBatch.from_pydict({
-                "term": pa.array(rows["term"], pa.int64()), "text_key": pa.array(rows["text_key"], pa.int64()),
-                "positions": pa.array(rows["positions"], pa.list_(pa.int32())),
-            })
-
-    postings = texts.mapInArrow(post, "term long, text_key long, positions array<int>").dropDuplicates(["term", "text_key"])
-    return stage(postings.sortWithinPartitions("term", "text_key"))
-
-
-def _keys(index: DataFrame, chosen: list[list[tuple[int, int]]], spare: list[int]) -> DataFrame:
-    """term, window, rank, offset of the chosen words; for each window also how many are wanted and the last rank that leads."""
-    rows = [(t, w, r, o, len(keys) - spare[w], spare[w]) for w, keys in enumerate(chosen) for r, (t, o) in enumerate(keys)]
-    return index.sparkSession.createDataFrame(
-        pa.table({k: list(v) for k, v in zip(("term", "window", "rank", "offset", "wanted", "lead"), zip(*rows))}),
-        "term long, window long, rank int, offset int, wanted int, lead int",
-    )
+                numbers = np.array([-1 if n is None else n for n in map(known.get, words_of(text))], dtype=np.int64)
+                at = np.flatnonzero(numbers >= 0)
+                if len(at):
+                    keys.append(key)
+                    found.append((at, numbers[at]))
+                    size += len(at)
+                    if size >= SHARD_PLACES:
+                        yield shard(keys, found)
+                        keys, found, size = [], [], 0
+            if found:
+                yield shard(keys, found)
 
+    return stage(texts.mapInArrow(post, "keys binary, terms binary, texts binary, places binary"))
 
-def phrase_candidates(index: DataFrame, chosen: list[list[tuple[int, int]]]) -> DataFrame:
-    """(window, text_key, start) at which all chosen words of a window stand: positions less the offset, intersected."""
-    joined = index.join(F.broadcast(_keys(index, chosen, [0] * len(chosen))), "term").select("window", "wanted", "text_key", "offset", F.explode("positions").alias("at"))
-    lists = joined.select("window", "wanted", "text_key", (F.col("at") - F.col("offset")).cast("long").alias("start")).filter("start >= 0")
-    met = lists.groupBy("window", "text_key", "start").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
-    return met.filter("n = wanted").select("window", "text_key", "start")
+
+@dataclass(frozen=True)
+class Keys:
+    """The chosen words of every window, rarest first, as tables of windows x ranks (term -1: none)."""
+
+    terms: np.ndarray
+    offsets: np.ndarray
+    wanted: np.ndarray  # words that have to be there
+    leads: np.ndarray  # of so many ranks, one is there
+
+
+def _keys(chosen: list[list[tuple[int, int]]], spare: list[int]) -> Keys:
+    width = max(map(len, chosen), default=0)
+    terms, offsets = np.full((len(chosen), width), -1, dtype=np.int64), np.zeros((len(chosen), width), dtype=np.int64)
+    for w, keys in enumerate(chosen):
+        for r, (term, offset) in enumerate(keys):
+            terms[w, r], offsets[w, r] = term, offset
+    size = (terms >= 0).sum(axis=1)
+    spared = np.array(spare, dtype=np.int64)
+    return Keys(terms, offsets, size - spared, np.minimum(spared + 1, size))
+
+
+def _intersected(keys: Keys, terms: np.ndarray, texts: np.ndarray, places: np.ndarray, count: int, slop: int):
+    """(window, text, start) of a shard: lists of the rarest words first, then the others at their places only."""
+    code = ((terms.astype(np.int64) * count + texts) << 32) + places
+    windows, ranks = np.nonzero(np.arange(keys.terms.shape[1]) < keys.leads[:, None])
+    low = np.searchsorted(terms, keys.terms[windows, ranks], side="left")
+    size = np.searchsorted(terms, keys.terms[windows, ranks], side="right") - low
+    upto = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(size)))
+    first = 0
+    while first < len(windows):
+        last = min(max(int(np.searchsorted(upto, upto[first] + SHARD_PLACES, side="right")) - 1, first + 1), len(windows))
+        key = np.repeat(np.arange(first, last), size[first:last])
+        at = low[key] + np.arange(len(key)) - (upto[key] - upto[first])
+        window, text = windows[key], texts[at].astype(np.int64)
+        start = places[at] - keys.offsets[window, ranks[key]]
+        held, met = start >= -slop, np.zeros(len(key), dtype=np.int64)
+        for rank in range(keys.terms.shape[1]):
+            # Only places that can still have all words wanted are probed further.
+            left = (keys.terms[window, rank:] >= 0).sum(axis=1)
+            held &= met + left >= keys.wanted[window]
+            window, text, start, met, held = window[held], text[held], start[held], met[held], held[held]
+            term = keys.terms[window, rank]
+            base = ((term * count + text) << 32) + start + keys.offsets[window, rank]
+            found = np.searchsorted(code, base - slop)
+            near = (found < len(code)) & (code[np.minimum(found, len(code) - 1)] <= base + slop)
+            met += near & (term >= 0)
+        held = met >= keys.wanted[window]
+        yield np.stack((window[held], text[held], start[held]), axis=1)
+        first = last
 
 
 def proximity_matches(index: DataFrame, chosen: list[list[tuple[int, int]]], slop: int, spare: list[int] | None = None) -> DataFrame:
@@ -179,24 +225,26 @@ def proximity_matches(index: DataFrame, chosen: list[list[tuple[int, int]]], slo
     ``spare`` says for every window how many chosen words may be missing (none by default).
     ``start`` is every start of one of the ``spare`` + 1 rarest words for which enough others
     lie at most ``slop`` away; ``slop=0`` without spare words gives the phrase candidates.
+    Only the lists of those rarest words are gone through; the others are probed at their places.
     """
-    keys = _keys(index, chosen, spare or [0] * len(chosen))
-    # One narrow row for each word of a window in a text is moved; places are spread only in texts with enough of the words.
-    starts = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda s: s >= -slop)
-    code = F.expr("window * 65536 + wanted * 256 + lead").alias("code")
-    lists = index.join(F.broadcast(keys), "term").select(code, "text_key", F.struct("rank", starts.alias("starts")).alias("list"))
-    wanted, lead = F.expr("code div 256 % 256"), F.expr("code % 256")
-    held = lists.groupBy("code", "text_key").agg(F.collect_list("list").alias("lists")).filter(F.size("lists") >= wanted)
-    each = held.select("code", "text_key", F.explode("lists").alias("list"))
-    own = each.select("code", "text_key", "list.rank", F.explode("list.starts").alias("own"))
-    spread = own.select("code", "text_key", "rank", "own", F.explode(F.sequence(F.col("own") - slop, F.col("own") + slop)).alias("start"))
-    met = spread.groupBy("code", "text_key", "start").agg(
-        F.bit_or(F.expr("shiftleft(1L, rank)")).alias("ranks"),
-        F.max((F.col("rank") <= lead) & (F.col("own") == F.col("start"))).alias("leads"),
-    )
-    return met.filter(F.col("leads") & (F.bit_count("ranks") >= wanted)).select(
-        F.expr("code div 65536").alias("window"), "text_key", F.col("start").cast("long").alias("start")
-    )
+    shared = index.sparkSession.sparkContext.broadcast(_keys(chosen, spare or [0] * len(chosen)))
+
+    def intersect(batches):
+        keys = shared.value
+        for batch in batches:
+            for row in zip(*[batch.column(name).to_pylist() for name in ("keys", "terms", "texts", "places")]):
+                names, terms, texts, places = (np.frombuffer(x, dtype=kind) for x, kind in zip(row, (np.int64, np.int32, np.int32, np.int32)))
+                parts = list(_intersected(keys, terms, texts, places, len(names), slop))
+                if parts:
+                    found = np.unique(np.concatenate(parts), axis=0)
+                    yield pa.RecordBatch.from_pydict({"window": found[:, 0], "text_key": names[found[:, 1]], "start": found[:, 2]})
+
+    return index.mapInArrow(intersect, "window long, text_key long, start long").distinct()
+
+
+def phrase_candidates(index: DataFrame, chosen: list[list[tuple[int, int]]]) -> DataFrame:
+    """(window, text_key, start) at which all chosen words of a window stand: positions less the offset, intersected."""
+    return proximity_matches(index, chosen, 0)
 
 
 def _within(words: list[int], text: list, edits: int) -> bool:
@@ -222,12 +270,14 @@ def near_at(words: list[int], text: list, at: int, slop: int) -> bool:
     return any(_within(words, text[a : a + size], edits) for a in range(max(0, at - edits), max(0, at + edits) + 1))
 
 
-def _marked(rows: DataFrame, block: Items, slop: int) -> DataFrame:
+def _marked(rows: DataFrame, shared, slop: int) -> DataFrame:
     """Check of the candidate places of every text: exact hit runs of words, their items, and near items."""
-    terms, windows, words = block.terms, block.windows, block.words
-    names = [None if i is None else str(i) for i in block.ids]
 
     def make():
+        block = shared.value
+        terms, windows, words = block.terms, block.windows, block.words
+        names = [None if i is None else str(i) for i in block.ids]
+
         def work(batch):
             spans, items, near, loose = [], [], [], []
             for text, places in zip(_texts(batch.column("text")), batch.column("places").to_pylist()):
@@ -280,16 +330,18 @@ def window_hits(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, ra
         [], "text_key long, text_md5 string, spans array<struct<a:int,b:int>>, items array<string>, near_items array<string>"
     )
     for block in _blocks(benchmark, window):
-        chosen, spare = _rarest(block, _term_counts(texts, block), rarest, slop)
+        shared = texts.sparkSession.sparkContext.broadcast(block)
+        chosen, spare = _rarest(block, _term_counts(texts, shared), rarest, slop)
         used = {t for keys in chosen for t, _ in keys}
         if not used:
+            shared.unpersist()
             continue
         index = build_index(texts, {w: n for w, n in block.terms.items() if n in used})
         edits = _tolerance(window, slop)
         met = (proximity_matches(index, chosen, edits, spare) if edits else phrase_candidates(index, chosen)).groupBy("text_key")
         places = stage(met.agg(F.collect_list(F.struct("window", "start")).alias("places")))
         held = texts.join(_few(places, 16 * F.size("places") + 64), "text_key").select("text_key", "text", "places")
-        marked = _marked(held, block, slop).filter("near")
+        marked = _marked(held, shared, slop).filter("near")
         hit = marked.select("text_key", F.md5("text").alias("text_md5"), "spans", "items", "near_items")
         found = found.unionByName(hit.dropDuplicates(["text_key", "text_md5"]))
     merged_rows = found.groupBy("text_key", "text_md5").agg(
