@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plaudit.functions.text import MARKUP, NON_SPACE, SPACE_CLASS
 from plaudit.sources.readers import spread_file
-from plaudit.rules import CONTRACTIONS, LEMMA_MIN_CHARS, LEMMA_SUFFIXES
+from plaudit.rules import CONTRACTIONS, LEMMA_MIN_CHARS, LEMMA_SUFFIXES, LEMMA_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,19 +58,21 @@ def sql_words(normalised: str) -> str:
     return f"list_filter(string_split({cut}, ' '), lambda w: w <> '')"
 
 
-def sql_lemma(word: str) -> str:
-    whens = [f"WHEN length({word}) < {LEMMA_MIN_CHARS} THEN {word}"]
+def sql_lemma(word: str, lemmas: dict[str, str] | None = None) -> str:
+    whens = [f"WHEN {word} = '{form}' THEN '{lemma}'" for form, lemma in (lemmas or {}).items()]
+    whens.append(f"WHEN length({word}) < {LEMMA_MIN_CHARS} THEN {word}")
+    whens += [f"WHEN {word} = '{form}' THEN '{lemma}'" for form, lemma in LEMMA_WORDS]
     for ending, replacement in LEMMA_SUFFIXES:
         stem = f"left({word}, length({word}) - {len(ending)})"
         whens.append(f"WHEN ends_with({word}, '{ending}') THEN {stem} || '{replacement}'")
     return f"(CASE {' '.join(whens)} ELSE {word} END)"
 
 
-def sql_clean_tokens(text: str, stop_words: Iterable[str]) -> str:
+def sql_clean_tokens(text: str, stop_words: Iterable[str], lemmas: dict[str, str] | None = None) -> str:
     """List of cleaned words of a text expression."""
     words = sql_words(sql_normalise(text))
     kept = f"list_filter({words}, lambda w: length(w) > 1 AND w NOT IN ({quoted(sorted(set(stop_words)))}))"
-    return f"coalesce(list_transform({kept}, lambda w: {sql_lemma('w')}), CAST([] AS VARCHAR[]))"
+    return f"coalesce(list_transform({kept}, lambda w: {sql_lemma('w', lemmas)}), CAST([] AS VARCHAR[]))"
 
 
 def sql_words_count(text: str) -> str:

@@ -1,7 +1,7 @@
 """Models, oversampling, neighbours and themes.
 
 Queries run with the operators' own defaults (``TrainConfig``, ``ThemeConfig``) on all
-labelled rows; only ``q_centroids`` and what builds on it take the 200 terms of their SQL.
+labelled rows, up to ``TrainConfig.fit_rows``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plaudit.catalog.common import Query, labelled, reviews, table
 from plaudit.catalog import opinion
+from plaudit.catalog.text import DICTIONARY, STOP_WORDS, dictionary
 from plaudit.operators import themes as th
 from plaudit.operators import tfidf as tf
 from plaudit.operators.model import (
@@ -20,10 +21,10 @@ from plaudit.operators.model import (
     AuthenticityModel,
     TrainConfig,
     cross_validate,
-    feature_tokens,
     fit_features,
     fit_vote,
 )
+from plaudit.operators.lemmas import lemma_pairs
 from plaudit.operators.neighbours import exact_neighbours
 from plaudit.operators.oversample import balance_classes
 from plaudit.operators.splits import stratified_folds
@@ -56,10 +57,10 @@ def _model(spark, sf) -> AuthenticityModel:
     return _fitted[key]
 
 
-def q_features(spark, sf):
+def q_features(spark, sf, config=TRAINING):
     """Non-zero cells of the feature matrix: TF-IDF cells, then the raw signals."""
     data = labelled(spark, sf)
-    rows = fit_features(data, TRAINING).transform(data).select("review_id", F.unwrap_udt("features").alias("v"))
+    rows = fit_features(data, config).transform(data).select("review_id", F.unwrap_udt("features").alias("v"))
     dense = F.when(F.col("v.indices").isNull(), F.sequence(F.lit(0), F.size("v.values") - 1)).otherwise(F.col("v.indices"))
     cells = F.filter(F.arrays_zip(dense.alias("i"), F.col("v.values").alias("x")), lambda e: e["x"] != 0)
     return rows.select("review_id", F.explode_outer(cells).alias("e")).filter("e is not null").select(
@@ -67,6 +68,12 @@ def q_features(spark, sf):
     )
 
 
+def q_features_dictionary(spark, sf):
+    """The feature matrix with a lemma table and a stop list of the caller's."""
+    pairs = lemma_pairs(dictionary(spark))
+    return q_features(spark, sf, replace(TRAINING, stop_words=STOP_WORDS, lemmas=pairs))
+
+
 def _member(name: str):
     def query(spark, sf):
         _, rows = _features(spark, sf)
@@ -136,11 +143,9 @@ def q_topics_legacy(spark, sf):
 
 def q_centroids(spark, sf):
     """Mean term weight per document source, from long-form weights."""
-    data = reviews(spark, sf)
-    tokens = feature_tokens(TRAINING)
-    postings = tf.posting_rows(data, tokens)
-    vocabulary = tf.top_terms(tf.term_statistics(postings), 200)
-    weights = tf.weigh_postings(postings, vocabulary, F.lit(data.count()))
+    data, tokens = reviews(spark, sf), th.theme_tokens(THEMES)
+    vocabulary = tf.fit_vocabulary(data, tokens, THEMES.max_n, THEMES.max_features)
+    weights = tf.tfidf_rows(data, tokens, THEMES.max_n, vocabulary)
     members = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.col("source").alias("cluster"))
     found = th.centroid_terms(weights, members)
     return found.select("cluster", "term", F.round("weight", 6).alias("weight"))
@@ -219,24 +224,25 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from plaudit.catalog.common import sql_clean_tokens
+    from plaudit.catalog.common import quoted, sql_clean_tokens
     from plaudit.catalog.sqlsentiment import sentiment_sql
     from plaudit.functions.text import english_stop_words
 
-    tokens = sql_clean_tokens("text", english_stop_words())
-    words = f"""
-      SELECT doc_id, source, unnest(list_filter({tokens}, lambda w: length(w) > 1)) AS term FROM documents"""
+    stop = quoted(english_stop_words())
+    tokens = f"list_filter({sql_clean_tokens('review_text', english_stop_words())}, lambda w: length(w) > 1 AND w NOT IN ({stop}))"
     from plaudit.catalog.text import signals_sql, sql_grams
     from plaudit.rules import SIGNAL_COLUMNS
 
+    documents = "SELECT doc_id AS review_id, text AS review_text FROM documents"
     corpus = "SELECT d.doc_id AS review_id, d.text AS review_text FROM documents d JOIN labels l ON l.doc_id = d.doc_id"
     signals = signals_sql(f"SELECT review_id, review_text AS t FROM ({corpus})", "review_id")
     cells = " UNION ALL ".join(
         f"SELECT review_id, (SELECT count(*) FROM vocab) + {i} AS idx, {c} AS value FROM signals"
         for i, c in enumerate(SIGNAL_COLUMNS)
     )
-    features = f"""
-      WITH tf AS (SELECT review_id, term, count(*) AS tf FROM ({sql_grams(corpus)}) GROUP BY ALL),
+    def features(grams: str) -> str:
+        return f"""
+      WITH tf AS (SELECT review_id, term, count(*) AS tf FROM ({grams}) GROUP BY ALL),
       vocab AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS idx FROM (
         SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT {SMALL.max_features})),
       raw AS (SELECT review_id, idx, (1 + ln(tf)) * (ln(((SELECT count(*) FROM ({corpus})) + 1)::DOUBLE / (df + 1)::DOUBLE) + 1) AS w
@@ -244,11 +250,13 @@ def oracle_sql() -> dict[str, str]:
       signals AS ({signals})
       SELECT review_id, idx, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS value FROM raw
       UNION ALL SELECT review_id, idx, round(value, 6) FROM ({cells}) WHERE value <> 0"""
+
+    own = f"list_filter({sql_clean_tokens('review_text', STOP_WORDS, DICTIONARY)}, lambda w: length(w) > 1)"
     centroids = f"""
-          WITH tf AS (SELECT doc_id, source, term, count(*) AS tf FROM ({words}) GROUP BY ALL),
-          vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 200),
-          raw AS (SELECT doc_id, source, tf.term, tf * (ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)::DOUBLE) + 1) AS w
-                  FROM tf JOIN vocab USING (term)),
+          WITH tf AS (SELECT review_id AS doc_id, term, count(*) AS tf FROM ({sql_grams(documents, tokens=tokens)}) GROUP BY ALL),
+          vocab AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT {THEMES.max_features}),
+          raw AS (SELECT doc_id, d.source, tf.term, tf * (ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1)::DOUBLE) + 1) AS w
+                  FROM tf JOIN vocab USING (term) JOIN documents d USING (doc_id)),
           unit AS (SELECT source, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM raw)
           SELECT source AS cluster, term, round(sum(w) / any_value(n), 6) AS weight
           FROM unit JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source) GROUP BY ALL"""
@@ -277,7 +285,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT s.id AS review_id, length(d.text)::BIGINT AS chars, label AS sentiment_label, compound AS sentiment_compound,
                  CASE WHEN compound < 0 THEN '' ELSE '+' END || printf('%.4f', compound) AS signed
           FROM ({sentiment}) s JOIN documents d ON d.doc_id = s.id""",
-        "q_features": features,
+        "q_features": features(sql_grams(corpus)),
+        "q_features_dictionary": features(sql_grams(corpus, tokens=own)),
         "q_neighbours": """
           SELECT vec_id, rank, neighbour, distance FROM (
             SELECT a.vec_id, b.vec_id AS neighbour, round(list_distance(a.e, b.e), 6) AS distance,

@@ -42,7 +42,9 @@ def _weights(spark, sf, postings, sublinear):
 
 def q_tfidf(spark, sf):
     """Sublinear 1- and 2-gram TF-IDF over 8,000 terms, unit length per review."""
-    return _weights(spark, sf, _postings(spark, sf), True)
+    data = reviews(spark, sf)
+    vocabulary = tf.fit_vocabulary(data, _tokens(), 2, MAX_FEATURES, sublinear=True)
+    return tf.tfidf_rows(data, _tokens(), 2, vocabulary).withColumn("weight", F.round("weight", 6))
 
 
 def q_tfidf_transform(spark, sf):

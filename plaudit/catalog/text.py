@@ -18,8 +18,11 @@ from plaudit.catalog.common import (
 from plaudit.functions import text as tx
 from plaudit.functions.rounding import rounded_ratio_sql
 from plaudit.functions.signals import DIGIT_CLASS, with_signals
+from plaudit.operators import tfidf as tf
 from plaudit.operators.preprocess import process_reviews
 from plaudit.rules import SIGNAL_COLUMNS
+from plaudit.sources.readers import small_table
+
 
 def signals_sql(source: str, key: str, extra: str = "") -> str:
     blank = sql_is_blank("t")
@@ -85,21 +88,29 @@ def q_process_table(spark, sf):
     return process_reviews(turns, "text").drop("text")
 
 
+# A dictionary and stop words over frequent words of the tables.
+DICTIONARY = {"tion": "tio", "eaux": "eau", "heit": "hei", "ments": "mentum", "les": "le", "des": "de", "nd": "nde", "ing": "ingen"}
+STOP_WORDS = ("the", "of", "and", "der", "die", "und", "de", "la", "el", "en")
+
+
+def dictionary(spark):
+    return small_table(spark, {"form": list(DICTIONARY), "lemma": list(DICTIONARY.values())}, "form string, lemma string")
+
+
+def q_process_dictionary(spark, sf):
+    """Preprocessing with a lemma table and a stop list of the caller's."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return process_reviews(turns, "text", STOP_WORDS, dictionary(spark)).drop("text")
+
+
 def q_ngrams(spark, sf):
     """Every 1- and 2-gram of cleaned words with its count per review."""
-    tokens = tx.clean_tokens(F.col("review_text"), tx.english_stop_words())
-    grams = reviews(spark, sf).select("review_id", tokens.alias("t"))
-    return (
-        grams.select("review_id", F.explode_outer(tx.word_ngrams(F.col("t"))).alias("term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy("review_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    return tf.posting_rows(reviews(spark, sf), tx.clean_tokens(F.col("review_text"), tx.english_stop_words()), 2)
 
 
-def sql_grams(source: str, key: str = "review_id", text: str = "review_text") -> str:
+def sql_grams(source: str, key: str = "review_id", text: str = "review_text", tokens: str | None = None) -> str:
     """(key, term) rows of 1- and 2-grams in DuckDB."""
-    tokens = sql_clean_tokens(text, tx.english_stop_words())
+    tokens = tokens or sql_clean_tokens(text, tx.english_stop_words())
     return f"""
       SELECT {key}, unnest(list_concat(t, list_transform(range(1, len(t)),
              lambda i: t[i] || ' ' || t[i + 1]))) AS term
@@ -117,6 +128,7 @@ def queries() -> dict[str, Query]:
         "q_signals": q_signals,
         "q_blank_defaults": q_blank_defaults,
         "q_process_table": q_process_table,
+        "q_process_dictionary": q_process_dictionary,
         "q_ngrams": q_ngrams,
     }
 
@@ -142,5 +154,10 @@ def oracle_sql() -> dict[str, str]:
             "conv_id, turn",
             f"array_to_string({sql_clean_tokens('t', stop)}, ' ') AS cleaned_review,",
         ),
+        "q_process_dictionary": signals_sql(
+            "SELECT conv_id, turn, text AS t FROM conversations",
+            "conv_id, turn",
+            f"array_to_string({sql_clean_tokens('t', STOP_WORDS, DICTIONARY)}, ' ') AS cleaned_review,",
+        ),
         "q_ngrams": f"SELECT review_id, term, count(*) AS tf FROM ({sql_grams(DOCUMENTS)}) GROUP BY ALL",
     }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import zlib
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
@@ -13,6 +15,7 @@ from plaudit.rules import (
     CONTRACTIONS,
     LEMMA_MIN_CHARS,
     LEMMA_SUFFIXES,
+    LEMMA_WORDS,
 )
 
 # Every character that separates words, ASCII and Unicode; the same class text
@@ -76,24 +79,62 @@ def drop_stop_words(tokens: Column, stop_words: Iterable[str]) -> Column:
     return F.filter(tokens, lambda word: (F.length(word) > 1) & ~word.isin(stop))
 
 
-def suffix_lemma(word: Column, suffixes=LEMMA_SUFFIXES) -> Column:
-    """Noun lemma by ending; the first fitting ending decides."""
+def suffix_lemma(word: Column, suffixes=LEMMA_SUFFIXES, words=LEMMA_WORDS) -> Column:
+    """Noun lemma by ending, but for some listed nouns; the first fitting ending decides."""
     rule = F.when(F.length(word) < LEMMA_MIN_CHARS, word)
+    if words:
+        forms, lemmas = zip(*words)
+        listed = F.create_map(*[F.lit(x) for pair in words for x in pair])
+        rule = rule.when(word.isin(list(forms)), F.element_at(listed, word))
     for ending, replacement in suffixes:
         stem = F.substring(word, F.lit(1), F.length(word) - len(ending))
         rule = rule.when(F.endswith(word, F.lit(ending)), F.concat(stem, F.lit(replacement)))
     return rule.otherwise(word)
 
 
-def clean_tokens(text: Column, stop_words: Iterable[str], suffixes=LEMMA_SUFFIXES) -> Column:
-    """Cleaned, filtered and lemmatised words; an empty array for blank text."""
+def dictionary_lemma(pairs: Sequence[tuple[str, str]]) -> Callable[[Column], Column]:
+    """A function from a word to the dictionary's lemma, null where it has none.
+
+    Maps are searched from their first entry on, so the dictionary is a constant array of many
+    small maps, one of which a word's hash picks. Of repeated forms the first counts.
+    """
+    known = dict(reversed([(form, lemma) for form, lemma in pairs]))
+    buckets: list[dict[str, str]] = [{} for _ in range(max(1, len(known) // 4))]
+    for form, lemma in known.items():
+        buckets[zlib.crc32(form.encode()) % len(buckets)][form] = lemma
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+
+    def look(word: Column) -> Column:
+        return F.try_element_at(F.get(table, F.pmod(F.crc32(word), F.lit(len(buckets))).cast("int")), word)
+
+    return look
+
+
+def clean_tokens(
+    text: Column, stop_words: Iterable[str], suffixes=LEMMA_SUFFIXES, lemmas: Sequence[tuple[str, str]] = ()
+) -> Column:
+    """Cleaned, filtered and lemmatised words; an empty array for blank text.
+
+    ``lemmas`` (form, lemma) goes before the endings.
+    """
     kept = drop_stop_words(word_tokens(normalise_text(text)), stop_words)
-    lemmas = F.transform(kept, lambda word: suffix_lemma(word, suffixes)) if suffixes else kept
-    return F.coalesce(lemmas, F.array().cast("array<string>"))
+    kept = F.coalesce(kept, F.array().cast("array<string>"))
+    if not suffixes and not lemmas:
+        return kept
+
+    def by_ending(word: Column) -> Column:
+        return suffix_lemma(word, suffixes) if suffixes else word
+
+    if not lemmas:
+        return F.transform(kept, by_ending)
+    look = dictionary_lemma(lemmas)
+    return F.transform(kept, lambda word: F.coalesce(look(word), by_ending(word)))
 
 
-def clean_text(text: Column, stop_words: Iterable[str], suffixes=LEMMA_SUFFIXES) -> Column:
-    return F.array_join(clean_tokens(text, stop_words, suffixes), " ")
+def clean_text(
+    text: Column, stop_words: Iterable[str], suffixes=LEMMA_SUFFIXES, lemmas: Sequence[tuple[str, str]] = ()
+) -> Column:
+    return F.array_join(clean_tokens(text, stop_words, suffixes, lemmas), " ")
 
 
 def vectorizer_tokens(text: Column, stop_words: Iterable[str] = ()) -> Column:

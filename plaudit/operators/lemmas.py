@@ -32,3 +32,16 @@ def lemmatise(
     word = F.struct("pos", F.coalesce("_lemma", "token").alias("word"))
     in_order = F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"])
     return joined.groupBy(id_column).agg(F.array_join(in_order, " ").alias(output))
+
+
+def lemma_pairs(lemmas: DataFrame | None) -> tuple[tuple[str, str], ...]:
+    """A dictionary (form, lemma) as pairs for ``clean_tokens`` and the settings of jobs.
+
+    Measured first: one beyond the limits of ``Lookup`` is refused and has to be joined by ``lemmatise``.
+    """
+    if lemmas is None:
+        return ()
+    lookup = Lookup(lemmas.select("form", "lemma"), "form")
+    if not lookup.small:
+        raise ValueError("the lemma table is too large for a plan; join it with lemmatise")
+    return tuple(sorted((r["form"], r["lemma"]) for r in lookup.df.collect() if r["lemma"] is not None))

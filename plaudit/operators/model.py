@@ -1,22 +1,22 @@
-"""Features, classifiers, soft vote, cross-validation, saving and loading."""
+"""Features, classifiers, soft vote, cross-validation, saving and loading.
+
+The members are a logistic regression, a random forest and boosted trees. The final model and
+those of all folds are fitted together: rows are numbered and stored once, and every pass serves
+all of them (``logistic``, ``trees``). Fitting takes at most ``TrainConfig.fit_rows`` labelled rows,
+chosen by hash; scoring takes any number and is map-only.
+"""
 
 from __future__ import annotations
 
+import io
 import json
-from dataclasses import asdict, dataclass, field, replace
-from functools import reduce
+import uuid
+from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +24,13 @@ from plaudit.functions.signals import with_signals
 from plaudit.functions.text import clean_tokens, english_stop_words, vectorizer_tokens
 from plaudit.operators import metrics as met
 from plaudit.operators import tfidf
+from plaudit.operators.binned import bounded, column_store, number_rows
+from plaudit.operators.logistic import Linear, fit_logistic, row_store
 from plaudit.operators.scoring import prediction_columns
+from plaudit.operators.trees import Boosted, Forest, Trees, fit_boosted, fit_forests
 from plaudit.rules import FOLDS, SEED, SIGNAL_COLUMNS, TEST_PERCENT
 from plaudit.sources.readers import SourceError, small_table
+from plaudit.sources.writers import point_to
 
 
 @dataclass(frozen=True)
@@ -54,6 +58,9 @@ class TrainConfig:
     oversample: bool = True
     neighbours: int = 5
     fit_scope: str = "train"
+    fit_rows: int = 200_000  # labelled rows that members are fitted on, at most
+    stop_words: tuple[str, ...] | None = None  # None: the English list
+    lemmas: tuple[tuple[str, str], ...] = ()  # (form, lemma), before the noun endings; see lemma_pairs
 
 
 # The earlier, smaller job: raw words, no signals, logistic regression only.
@@ -92,8 +99,9 @@ class FeatureModel:
 def feature_tokens(config: TrainConfig) -> Column:
     text = F.col("review_text")
     if config.cleaned:
-        return F.filter(clean_tokens(text, english_stop_words()), lambda w: F.length(w) > 1)
-    return vectorizer_tokens(text)
+        stop = english_stop_words() if config.stop_words is None else config.stop_words
+        return F.filter(clean_tokens(text, stop, lemmas=config.lemmas), lambda w: F.length(w) > 1)
+    return vectorizer_tokens(text, config.stop_words or ())
 
 
 def fit_features(reviews: DataFrame, config: TrainConfig) -> FeatureModel:
@@ -107,61 +115,140 @@ def fit_features(reviews: DataFrame, config: TrainConfig) -> FeatureModel:
     return FeatureModel(config, vocabulary, scaler)
 
 
-def _estimator(name: str, config: TrainConfig, rows: int):
-    columns = {"labelCol": "label", "featuresCol": "features", "probabilityCol": f"_p_{name}",
-               "predictionCol": f"_c_{name}", "rawPredictionCol": f"_r_{name}"}
-    if name == "lr":
-        return LogisticRegression(
-            maxIter=config.lr_iterations, regParam=1.0 / (config.lr_c * max(rows, 1)), elasticNetParam=0.0,
-            standardization=False, **columns,
-        )
-    if name == "rf":
-        return RandomForestClassifier(
-            numTrees=config.trees, maxDepth=config.tree_depth, featureSubsetStrategy="sqrt", seed=config.seed, **columns
-        )
-    if name == "gbt":
-        names = {k: v for k, v in columns.items() if k in ("labelCol", "featuresCol", "predictionCol")}
-        model = GBTClassifier(
-            maxIter=config.rounds, maxDepth=config.round_depth, stepSize=config.step, seed=config.seed, **names
-        )
-        return model.setProbabilityCol(columns["probabilityCol"]).setRawPredictionCol(columns["rawPredictionCol"])
-    raise ValueError(f"unknown member {name}")
+SCORED_ROWS = 256  # rows made dense at once
 
 
-_LOADERS = {"lr": LogisticRegressionModel, "rf": RandomForestClassificationModel, "gbt": GBTClassificationModel}
+def _cells(parts: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the non-zero cells of a column of vectors."""
+    values, indices = parts.field("values"), parts.field("indices")
+    size = np.diff(values.offsets.to_numpy()).astype(np.int64)
+    vals = values.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(parts)), size)
+    cols = np.arange(len(vals)) - np.repeat(np.cumsum(size) - size, size)
+    sparse = np.repeat(indices.is_valid().to_numpy(zero_copy_only=False), size)
+    cols[sparse] = indices.flatten().to_numpy()
+    held = vals != 0
+    return rows[held], cols[held], vals[held]
 
 
 @dataclass(frozen=True)
 class VoteModel:
     """Mean of the members' probabilities, equal weights; a tie is class 0."""
 
-    members: dict
+    members: dict[str, Linear | Forest | Boosted]
+
+    def shares(self, parts: pa.StructArray) -> np.ndarray:
+        """Mean probability of class 1 for every vector."""
+        rows, cols, vals = _cells(parts)
+        total = np.zeros(len(parts))
+        trees = [m for m in self.members.values() if not isinstance(m, Linear)]
+        for member in self.members.values():
+            if isinstance(member, Linear):
+                total += member.probabilities(rows, cols, vals, len(parts))
+        if trees:
+            used = np.unique(np.concatenate([m.trees.column[m.trees.column >= 0] for m in trees] + [np.zeros(1, dtype=np.int64)]))
+            place = np.minimum(np.searchsorted(used, cols), len(used) - 1)
+            held = used[place] == cols
+            rows, place, vals = rows[held], place[held], vals[held]
+            for first in range(0, len(parts), SCORED_ROWS):
+                last = min(first + SCORED_ROWS, len(parts))
+                a, b = np.searchsorted(rows, [first, last])
+                dense = np.zeros((last - first, len(used)))
+                dense[rows[a:b] - first, place[a:b]] = vals[a:b]
+                for member in trees:
+                    total[first:last] += member.probabilities(dense, used)
+        return total / len(self.members)
 
     def transform(self, features: DataFrame) -> DataFrame:
-        """Add ``genuine`` (probability) and ``predicted`` (0 or 1)."""
-        out = features
-        for model in self.members.values():
-            out = model.transform(out)
-        shares = [vector_to_array(f"_p_{name}")[1] for name in self.members]
-        mean = reduce(lambda a, b: a + b, shares) / float(len(shares))
-        out = out.withColumn("genuine", mean).drop(*[f"_{c}_{n}" for c in "pcr" for n in self.members])
+        """Add ``genuine`` (probability) and ``predicted`` (0 or 1). Map-only, in Arrow batches."""
+        shared = features.sparkSession.sparkContext.broadcast(self)
+
+        @F.arrow_udf("double")
+        def genuine(parts: pa.Array) -> pa.Array:
+            return pa.array(shared.value.shares(parts))
+
+        out = features.withColumn("genuine", genuine(F.unwrap_udt("features")))
         return out.withColumn("predicted", (F.col("genuine") > 0.5).cast("int"))
 
+    def to_arrays(self) -> dict[str, bytes]:
+        """Every member as bytes of its arrays."""
+        found = {}
+        for name, member in self.members.items():
+            if isinstance(member, Linear):
+                arrays = {"weights": member.weights, "intercept": np.array(member.intercept)}
+            else:
+                arrays = {f: getattr(member.trees, f) for f in Trees.__dataclass_fields__}
+                if isinstance(member, Boosted):
+                    arrays["losses"] = np.array(member.losses)
+            file = io.BytesIO()
+            np.savez_compressed(file, **arrays)
+            found[name] = file.getvalue()
+        return found
+
+    @classmethod
+    def from_arrays(cls, stored: dict[str, bytes]) -> VoteModel:
+        members = {}
+        for name, data in stored.items():
+            arrays = dict(np.load(io.BytesIO(data)))
+            if "weights" in arrays:
+                members[name] = Linear(arrays["weights"], float(arrays["intercept"]))
+                continue
+            trees = Trees(**{f: arrays[f] for f in Trees.__dataclass_fields__})
+            members[name] = Boosted(trees, tuple(arrays["losses"].tolist())) if "losses" in arrays else Forest(trees)
+        return cls(members)
+
+
+def fit_votes(training: DataFrame, config: TrainConfig, left_out: list[int | None]) -> list[VoteModel]:
+    """One vote for each entry of ``left_out``: the fold whose rows it does not see, or None for all rows.
+
+    ``training`` has row_key, label and features, and fold if any is left out. All models are
+    fitted together, so that each pass over the rows serves all of them.
+    """
+    rows = number_rows(bounded(training, config.fit_rows, config.seed), config.seed)
+    members = np.stack([np.ones(rows.count, dtype=bool) if f is None else rows.folds != f for f in left_out])
+    found: dict[str, list] = {}
+    if "lr" in config.members:
+        store = row_store(rows)
+        found["lr"] = fit_logistic(store, rows, members, config.lr_c, config.lr_iterations)
+        store.free()
+    if {"rf", "gbt"} & set(config.members):
+        store = column_store(rows)
+        if "rf" in config.members:
+            names = [0 if f is None else f + 1 for f in left_out]
+            found["rf"] = fit_forests(store, rows, members, config.trees, config.tree_depth, config.seed, names)
+        if "gbt" in config.members:
+            found["gbt"] = fit_boosted(store, rows, members, config.rounds, config.round_depth, config.step)
+        store.free()
+    unknown = set(config.members) - set(found)
+    if unknown:
+        raise ValueError(f"unknown member {sorted(unknown)[0]}")
+    return [VoteModel({name: found[name][i] for name in config.members}) for i in range(len(left_out))]
+
 
 def fit_vote(training: DataFrame, config: TrainConfig) -> VoteModel:
-    """Fit all members on (label, features)."""
-    rows = training.count()
-    return VoteModel({name: _estimator(name, config, rows).fit(training) for name in config.members})
+    """Fit all members on (row_key, label, features)."""
+    return fit_votes(training, config, [None])[0]
+
+
+def fold_scores(training: DataFrame, models: list[VoteModel]) -> DataFrame:
+    """(fold, score): F1 of class 1 of each fold by the model that did not see it; one map pass."""
+    shared = training.sparkSession.sparkContext.broadcast(models)
+
+    @F.arrow_udf("double")
+    def genuine(parts: pa.Array, folds: pa.Array) -> pa.Array:
+        own, out = folds.to_numpy(zero_copy_only=False), np.zeros(len(parts))
+        for fold in np.unique(own).tolist():
+            at = np.flatnonzero(own == fold)
+            out[at] = shared.value[fold].shares(parts.take(pa.array(at)))
+        return pa.array(out)
+
+    held = training.select("fold", "label", genuine(F.unwrap_udt("features"), F.col("fold")).alias("genuine"))
+    return met.fold_metrics(held.select("fold", "label", (F.col("genuine") > 0.5).cast("int").alias("prediction")))
 
 
 def cross_validate(training: DataFrame, config: TrainConfig) -> DataFrame:
-    """(fold, score): F1 of class 1 per fold. ``training`` has label, features, fold."""
-    parts = []
-    for fold in range(config.folds):
-        model = fit_vote(training.filter(F.col("fold") != fold), config)
-        held = model.transform(training.filter(F.col("fold") == fold))
-        parts.append(held.select("fold", "label", F.col("predicted").alias("prediction")))
-    return met.fold_metrics(reduce(DataFrame.unionByName, parts))
+    """(fold, score): F1 of class 1 per fold. ``training`` has row_key, label, features, fold."""
+    return fold_scores(training, fit_votes(training, config, list(range(config.folds))))
 
 
 @dataclass(frozen=True)
@@ -180,30 +267,38 @@ class AuthenticityModel:
             scored = with_signals(scored)
         return scored.withColumn("behavioral_signals", F.struct(*SIGNAL_COLUMNS)).drop(*SIGNAL_COLUMNS)
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Write members, vocabulary and settings below ``path``, replacing older ones."""
-        for name, model in self.vote.members.items():
-            model.write().overwrite().save(f"{path}/{name}")
+    def save(self, spark: SparkSession, path: str) -> str:
+        """Write a new version below ``path`` and then point to it; returns the version's name.
+
+        The pointer is replaced by one rename, so readers see the old version or the new one,
+        and a save that dies halfway leaves the old one in place.
+        """
+        version = f"v-{uuid.uuid4().hex}"
         if self.features.scaler:
-            self.features.scaler.write().overwrite().save(f"{path}/scaler")
-        settings = json.dumps(asdict(self.features.config))
-        rows = {"name": ["config", "vocabulary"], "value": [settings, self.features.vocabulary.to_json()]}
-        small_table(spark, rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+            self.features.scaler.write().save(f"{path}/{version}/scaler")
+        values = {"config": json.dumps(asdict(self.features.config)), "vocabulary": self.features.vocabulary.to_json()}
+        rows = [(name, text.encode()) for name, text in values.items()] + [(f"member {n}", v) for n, v in self.vote.to_arrays().items()]
+        table = small_table(spark, dict(zip(("name", "value"), map(list, zip(*rows)))), "name string, value binary")
+        table.coalesce(1).write.parquet(f"{path}/{version}/model")
+        point_to(spark, path, version)
+        return version
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> AuthenticityModel:
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> AuthenticityModel:
+        """The version that ``path`` points to, or the one named."""
         try:
-            rows = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/settings").collect()}
+            version = version or spark.read.text(f"{path}/CURRENT").first()["value"]
+            rows = {r["name"]: bytes(r["value"]) for r in spark.read.parquet(f"{path}/{version}/model").collect()}
             read = json.loads(rows["config"])
-            config = replace(TrainConfig(**{k: v for k, v in read.items() if k != "members"}), members=tuple(read["members"]))
-            members = {name: _LOADERS[name].load(f"{path}/{name}") for name in config.members}
-            scaler = StandardScalerModel.load(f"{path}/scaler") if config.signals and config.scale_signals else None
+            lists = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) for k, v in read.items() if isinstance(v, list)}
+            config = TrainConfig(**read | lists)
+            vote = VoteModel.from_arrays({name: rows[f"member {name}"] for name in config.members})
+            scaler = StandardScalerModel.load(f"{path}/{version}/scaler") if config.signals and config.scale_signals else None
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             raise SourceError("MODEL_NOT_FOUND", f"no trained model at {path}; train and save one first") from error
-        vocabulary = tfidf.Vocabulary.from_json(rows["vocabulary"])
-        return cls(FeatureModel(config, vocabulary, scaler), VoteModel(members))
+        return cls(FeatureModel(config, tfidf.Vocabulary.from_json(rows["vocabulary"].decode()), scaler), vote)
 
 
 def score_text(model: AuthenticityModel, spark: SparkSession, text: str | None) -> DataFrame:

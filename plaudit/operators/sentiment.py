@@ -11,6 +11,7 @@ makes the result independent of row order.
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Sequence
 
@@ -72,17 +73,17 @@ def spoken_words(text: Column) -> Column:
     return F.transform(words, strip)
 
 
-def _token_rows(
-    reviews: DataFrame, id_column: str, text_column: str, keep: Sequence[str], rules: SentimentRules, lookup: Lookup
+def _flagged(
+    reviews: DataFrame, keep: Sequence[str], text_column: str, rules: SentimentRules, lookup: Lookup
 ) -> DataFrame:
-    """One row per word (``pos`` >= 0) and one header row (``pos`` = -1) per review.
+    """*keep, the words in lower case, the places that may be hits, and counts of the whole text.
 
     Words outside a listed lexicon are left out before rows are made of them.
     """
     text = F.when(is_blank(F.col(text_column)), "").otherwise(F.col(text_column))
-    words = reviews.select(id_column, *keep, text.alias("_t"), spoken_words(text).alias("_w"))
-    lower = words.select(id_column, *keep, "_t", "_w", F.transform("_w", lambda w: F.lower(w)).alias("_l")).select(
-        id_column, *keep, "_t", "_w", "_l",
+    words = reviews.select(*keep, text.alias("_t"), spoken_words(text).alias("_w"))
+    lower = words.select(*keep, "_t", "_w", F.transform("_w", lambda w: F.lower(w)).alias("_l")).select(
+        *keep, "_t", "_w", "_l",
         F.zip_with("_w", "_l", lambda w, low: (w != low) & (w == F.upper(w))).alias("_u"),
     )
     places = F.sequence(F.lit(0), F.size("_l") - 1)
@@ -95,30 +96,38 @@ def _token_rows(
     emphasis = F.least(bangs, F.lit(rules.exclamation_max)) * rules.exclamation_micro + F.when(
         asks > 3, rules.question_many_micro
     ).when(asks > 1, asks * rules.question_micro).otherwise(0)
-    flagged = lower.select(
-        id_column, *keep, "_l", "_u", places.alias("_at"),
+    return lower.select(
+        *keep, "_l", "_u", places.alias("_at"),
         F.size("_w").cast("bigint").alias("_n"),
         ((n_upper > 0) & (n_upper < F.size("_w"))).alias("_mixed"),
         (F.array_position("_l", F.lit(rules.but_word)) - 1).alias("_but"),
         emphasis.cast("bigint").alias("_emph"),
     )
 
-    def word_row(i: Column) -> Column:
-        before = [F.get("_l", i - d).alias(f"p{d}") for d in (1, 2, 3)]
-        shout = [(F.coalesce(F.get("_u", i - d), F.lit(False)) & F.col("_mixed")).alias(f"u{d}") for d in (0, 1, 2, 3)]
-        after = [F.get("_l", i + d).alias(f"n{d}") for d in (1, 2)]
-        return F.struct(
-            i.cast("bigint").alias("pos"), F.get("_l", i).alias("tok"), *before, *shout, *after,
-            F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("emph"),
-        )
 
+def _word_row(i: Column) -> Column:
+    """The word at place ``i`` of ``_l`` with its neighbours."""
+    before = [F.get("_l", i - d).alias(f"p{d}") for d in (1, 2, 3)]
+    shout = [(F.coalesce(F.get("_u", i - d), F.lit(False)) & F.col("_mixed")).alias(f"u{d}") for d in (0, 1, 2, 3)]
+    after = [F.get("_l", i + d).alias(f"n{d}") for d in (1, 2)]
+    return F.struct(
+        i.cast("bigint").alias("pos"), F.get("_l", i).alias("tok"), *before, *shout, *after,
+        F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("emph"),
+    )
+
+
+def _token_rows(
+    reviews: DataFrame, id_column: str, text_column: str, keep: Sequence[str], rules: SentimentRules, lookup: Lookup
+) -> DataFrame:
+    """One row per word (``pos`` >= 0) and one header row (``pos`` = -1) per review."""
+    flagged = _flagged(reviews, [id_column, *keep], text_column, rules, lookup)
     text_null, no = F.lit(None).cast("string"), F.lit(False)
     header = F.struct(
         F.lit(-1).cast("bigint").alias("pos"), text_null.alias("tok"),
         *[text_null.alias(f"p{d}") for d in (1, 2, 3)], *[no.alias(f"u{d}") for d in (0, 1, 2, 3)],
         *[text_null.alias(f"n{d}") for d in (1, 2)], F.col("_n").alias("words"), F.col("_emph").alias("emph"),
     )
-    rows = F.concat(F.array(header), F.transform("_at", word_row))
+    rows = F.concat(F.array(header), F.transform("_at", _word_row))
     return flagged.select(id_column, *keep, "_but", F.explode_outer(rows).alias("r")).select(id_column, *keep, "_but", "r.*")
 
 
@@ -131,8 +140,13 @@ def _any_of(name: str, words: Sequence[str]) -> str:
     return f"coalesce({name} IN ({sql_words(words)}), false)" if words else "false"
 
 
-def _word_scores(hits: DataFrame, rules: SentimentRules) -> DataFrame:
-    """Apply the modifier rules to hit rows one after the other; adds ``micro``.
+def _modifier(rules: SentimentRules, name: str) -> str:
+    """What a booster or damper adds, as SQL text; null for other words."""
+    return f"CASE WHEN {_any_of(name, rules.boosters)} THEN {rules.raise_by}D WHEN {_any_of(name, rules.dampers)} THEN -{rules.raise_by}D END"
+
+
+def _steps(rules: SentimentRules) -> list[str]:
+    """The modifier rules in order, each giving the next ``v`` from the names of a hit row.
 
     The rules are SQL text: each is parsed in one call, where a Column would
     take one call per word of the lists.
@@ -143,9 +157,6 @@ def _word_scores(hits: DataFrame, rules: SentimentRules) -> DataFrame:
         """``amount`` moved away from zero by the capitals bonus if ``upper``."""
         return f"({amount} + IF({upper}, IF(v > 0, {r.caps_by}D, -{r.caps_by}D), 0D))"
 
-    def by_modifier(name: str) -> str:
-        return f"CASE WHEN {_any_of(name, r.boosters)} THEN {r.raise_by}D WHEN {_any_of(name, r.dampers)} THEN -{r.raise_by}D END"
-
     def negated(name: str) -> str:
         return f"({_any_of(name, r.negations)} OR coalesce(contains({name}, '{sql_words([r.negation_suffix])[1:-1]}'), false))"
 
@@ -174,20 +185,28 @@ def _word_scores(hits: DataFrame, rules: SentimentRules) -> DataFrame:
             f"CASE WHEN NOT {active} THEN v WHEN {stronger[d]} THEN v * {r.never_so_by}D WHEN {kept[d]} THEN v "
             f"WHEN {negated(name)} THEN v * {r.negate_by}D ELSE v END"
         )
-    steps += _idioms(rules, by_modifier)
+    steps += _idioms(rules)
     steps.append(
         f"IF({_any_of('p1', [r.least_word])} AND NOT k_p1 AND NOT {_any_of('p2', r.least_guards)}, v * {r.negate_by}D, v)"
     )
     steps.append(
         f"CASE WHEN _but >= 0 AND pos < _but THEN v * {r.before_but}D WHEN _but >= 0 AND pos > _but THEN v * {r.after_but}D ELSE v END"
     )
-    df = hits.withColumns({f"m{d}": F.expr(by_modifier(f"p{d}")) for d in (1, 2, 3)})
-    for step in steps:
+    return steps
+
+
+_MICRO_SQL = f"cast(round(v * {float(MICRO)}D) AS BIGINT)"
+
+
+def _word_scores(hits: DataFrame, rules: SentimentRules) -> DataFrame:
+    """Apply the modifier rules to hit rows one after the other; adds ``micro``."""
+    df = hits.withColumns({f"m{d}": F.expr(_modifier(rules, f"p{d}")) for d in (1, 2, 3)})
+    for step in _steps(rules):
         df = df.withColumn("v", F.expr(step))
-    return df.withColumn("micro", F.expr(f"cast(round(v * {float(MICRO)}D) AS BIGINT)"))
+    return df.withColumn("micro", F.expr(_MICRO_SQL))
 
 
-def _idioms(rules: SentimentRules, by_modifier) -> list[str]:
+def _idioms(rules: SentimentRules) -> list[str]:
     """Fixed phrases around the word replace its score; two-word modifiers add to it."""
     active, steps = "(p3 IS NOT NULL AND NOT k_p3)", []
     if rules.idioms:
@@ -198,10 +217,83 @@ def _idioms(rules: SentimentRules, by_modifier) -> list[str]:
         found = ", ".join(f"CASE {text} {whens} END" for text in texts)
         steps.append(f"IF({active}, coalesce({found}, v), v)")
     for names in ("p3, ' ', p2, ' ', p1", "p3, ' ', p2", "p2, ' ', p1"):
-        steps.append(f"IF({active}, v + coalesce({by_modifier(f'concat({names})')}, 0D), v)")
+        steps.append(f"IF({active}, v + coalesce({_modifier(rules, f'concat({names})')}, 0D), v)")
     return steps
 
 
+def _counts(rules: SentimentRules) -> str:
+    """SQL test that a word of the lexicon is no modifier itself."""
+    modifier = _any_of("tok", [*rules.boosters, *rules.dampers])
+    return f"NOT {modifier} AND NOT ({_any_of('tok', [rules.kind_word])} AND {_any_of('n1', [rules.of_word])})"
+
+
+# Names of a hit in the rules' SQL text; quoted words are passed over.
+_NAMES = re.compile(r"'(?:[^'\\]|\\.)*'|\b(p[123]|u[0-3]|n[12]|m[123]|k_[pn][123]|tok|valence|pos|v)\b")
+MAX_VALENCES = 400
+
+
+def _of_hit(sql: str) -> str:
+    return _NAMES.sub(lambda m: f"h.{m[1]}" if m[1] else m[0], sql)
+
+
+def _valence_sql(lookup: Lookup) -> str | None:
+    """``tok`` to its valence as one hash-set test for each distinct valence; null for a lexicon it cannot hold."""
+    if lookup.listed is None:
+        return None
+    groups: dict[float, list[str]] = {}
+    for row in lookup.df.collect():  # a listed lookup has at most MAX_LISTED rows
+        if row["valence"] is not None:
+            groups.setdefault(row["valence"], []).append(row["token"])
+    if len(groups) > MAX_VALENCES or not groups:
+        return None
+    whens = " ".join(f"WHEN {_any_of('tok', sorted(words))} THEN {value!r}D" for value, words in sorted(groups.items()))
+    return f"CASE {whens} END"
+
+
+def sentiment_in_row(
+    reviews: DataFrame,
+    lexicon: DataFrame | None = None,
+    rules: SentimentRules = DEFAULT_SENTIMENT,
+    text_column: str = "review_text",
+) -> DataFrame | None:
+    """``reviews`` with positive, neutral, negative, compound and label added; map-only.
+
+    The hits of a text are an array in its row, the rules pass over it, and its sums give the
+    same numbers as ``score_sentiment``. Needs a lexicon that is listed and has at most
+    ``MAX_VALENCES`` different valences; for any other the answer is None and the join is to be taken.
+    """
+    lookup = Lookup(lexicon if lexicon is not None else seed_lexicon(reviews.sparkSession), "token")
+    valence = _valence_sql(lookup)
+    if valence is None:
+        return None
+    names = reviews.columns
+    flagged = _flagged(reviews, names, text_column, rules, lookup).withColumn("_hits", F.transform("_at", _word_row))
+    words = [*[f"p{d}" for d in (1, 2, 3)], *[f"u{d}" for d in (0, 1, 2, 3)], *[f"n{d}" for d in (1, 2)], "pos", "tok"]
+
+    def again(df: DataFrame, **fields: str) -> DataFrame:
+        """Every hit with fields added or replaced; each step reads the array of the one before once."""
+        parts = ", ".join(f"'{n}', h.{n}" for n in again.names if n not in fields)
+        added = ", ".join(f"'{n}', {_of_hit(sql)}" for n, sql in fields.items())
+        again.names = [*[n for n in again.names if n not in fields], *fields]
+        return df.withColumn("_hits", F.expr(f"transform(_hits, h -> named_struct({', '.join(x for x in (parts, added) if x)}))"))
+
+    again.names = words
+    marks = {f"k_{n}": lookup.holds(n) for n in ("p1", "p2", "p3", "n1")}
+    df = again(flagged, valence=valence, **marks, **{f"m{d}": _modifier(rules, f"p{d}") for d in (1, 2, 3)})
+    df = df.withColumn("_hits", F.expr(f"filter(_hits, h -> {_of_hit('valence IS NOT NULL AND ' + _counts(rules))})"))
+    for step in _steps(rules):
+        df = again(df, v=step)
+    zero = "named_struct('s', 0L, 'p', 0L, 'm', 0L, 'h', 0L)"
+    micros = f"transform(_hits, h -> {_of_hit(_MICRO_SQL)})"
+    add = (
+        f"named_struct('s', a.s + x, 'p', a.p + IF(x > 0, x + {MICRO}, 0L), 'm', a.m + IF(x < 0, {MICRO} - x, 0L), "
+        "'h', a.h + IF(x <> 0, 1L, 0L))"
+    )
+    summed = df.withColumn("_sums", F.expr(f"aggregate({micros}, {zero}, (a, x) -> {add})"))
+    sums = summed.select(*names, "_n", F.col("_emph").alias("_e"), *[F.col(f"_sums.{n}").alias(f"_{n}") for n in "spmh"])
+    return _totals(sums, names, rules)
+
+
 def score_sentiment(
     reviews: DataFrame,
     lexicon: DataFrame | None = None,
@@ -219,9 +311,7 @@ def score_sentiment(
     tokens = _token_rows(reviews, id_column, text_column, keep, rules, lookup)
     salt = F.struct(F.col(id_column), F.col("pos"))
     found = lookup.join(tokens, F.col("tok"), {"valence": "valence"}, salt)
-    modifier = _any_of("tok", [*rules.boosters, *rules.dampers])
-    kind_of = f"({_any_of('tok', [rules.kind_word])} AND {_any_of('n1', [rules.of_word])})"
-    hits = found.filter(f"pos < 0 OR (valence IS NOT NULL AND NOT {modifier} AND NOT {kind_of})")
+    hits = found.filter(f"pos < 0 OR (valence IS NOT NULL AND {_counts(rules)})")
     around = ("p1", "p2", "p3", "n1")
     if lookup.listed is not None:
         hits = hits.withColumns({f"k_{name}": F.expr(lookup.holds(name)) for name in around})

@@ -165,3 +165,11 @@ def tfidf_vectors(
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(vocabulary.idf), inputCol="_tf", outputCol="_w")
     unit = Normalizer(p=2.0, inputCol="_w", outputCol=output)
     return unit.transform(scaled.transform(counted)).drop("_tf", "_w")
+
+
+def tfidf_rows(df: DataFrame, tokens: Column, max_n: int, vocabulary: Vocabulary, id_column: str = "review_id") -> DataFrame:
+    """(id, term, weight) of the vocabulary's terms, unit length per review. Map-only."""
+    part = tfidf_vectors(df, tokens, max_n, vocabulary, "_v").select(id_column, F.unwrap_udt("_v").alias("v"))
+    cells = part.select(id_column, F.explode(F.arrays_zip("v.indices", "v.values")).alias("e"))
+    names = F.lit(list(vocabulary.terms)) if vocabulary.terms else F.array().cast("array<string>")
+    return cells.select(id_column, F.get(names, F.col("e.indices")).alias("term"), F.col("e.values").alias("weight"))

@@ -30,17 +30,22 @@ class ThemeConfig:
     examples: int = 3
     seed: int = SEED
     iterations: int = 300
+    stop_words: tuple[str, ...] | None = None  # of the cleaning; None: the English list
+    vectorizer_stop_words: tuple[str, ...] | None = None  # of the term weights, after the lemmas; None: the same list
+    lemmas: tuple[tuple[str, str], ...] = ()  # (form, lemma), before the noun endings
 
 
 LEGACY_THEMES = ThemeConfig(clusters=3, max_features=1000, max_n=1, cleaned=False, top_terms=5)
 
 
-def _tokens(config: ThemeConfig):
-    stop = english_stop_words()
+def theme_tokens(config: ThemeConfig):
+    """Words that terms are made of: cleaned, lemmatised, then filtered by the vectorizer's own list."""
+    stop = english_stop_words() if config.stop_words is None else config.stop_words
+    own = stop if config.vectorizer_stop_words is None else config.vectorizer_stop_words
     text = F.col("review_text")
     if config.cleaned:
-        return drop_stop_words(clean_tokens(text, stop), stop)
-    return vectorizer_tokens(text, stop)
+        return drop_stop_words(clean_tokens(text, stop, lemmas=config.lemmas), own)
+    return vectorizer_tokens(text, own)
 
 
 @dataclass(frozen=True)
@@ -52,10 +57,10 @@ class Clustering:
 def _assign(reviews: DataFrame, config: ThemeConfig, k: int) -> Clustering | None:
     """Cluster number per review and top terms per centre; None without any term."""
     spark = reviews.sparkSession
-    vocabulary = tfidf.fit_vocabulary(reviews, _tokens(config), config.max_n, config.max_features)
+    vocabulary = tfidf.fit_vocabulary(reviews, theme_tokens(config), config.max_n, config.max_features)
     if not vocabulary.terms:
         return None
-    vectors = tfidf.tfidf_vectors(reviews, _tokens(config), config.max_n, vocabulary, "features")
+    vectors = tfidf.tfidf_vectors(reviews, theme_tokens(config), config.max_n, vocabulary, "features")
     vectors = vectors.select("review_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
     # The row solver suits sparse vectors and accepts fewer distinct points than k.
     means = KMeans(

@@ -92,6 +92,15 @@ LEMMA_SUFFIXES = (
     ("s", ""),
 )
 LEMMA_MIN_CHARS = 4
+# Nouns whose endings mislead the rules above, and irregular ones.
+LEMMA_WORDS = (
+    ("brownies", "brownie"), ("calves", "calf"), ("children", "child"), ("cookies", "cookie"), ("feet", "foot"),
+    ("geese", "goose"), ("halves", "half"), ("hoodies", "hoodie"), ("knives", "knife"), ("leaves", "leaf"),
+    ("lenses", "lens"), ("lies", "lie"), ("lives", "life"), ("loaves", "loaf"), ("mice", "mouse"),
+    ("movies", "movie"), ("newbies", "newbie"), ("pies", "pie"), ("rookies", "rookie"), ("selfies", "selfie"),
+    ("shelves", "shelf"), ("teeth", "tooth"), ("thieves", "thief"), ("ties", "tie"), ("wives", "wife"),
+    ("wolves", "wolf"), ("zombies", "zombie"),
+)
 
 
 @dataclass(frozen=True)
