@@ -3,8 +3,10 @@
 1. Each page is cut into elements and blocks of text. Elements that hold no main text by
    their kind (menus, forms, scripts, ...) or by the words of their class, id or role
    (adverts, comments, notices, ...) are left out, as is everything outside ``main`` or
-   ``article`` where a page has one. Words of class, id and role never leave out an element
-   around the page's ``main``, or around its only articles.
+   ``article`` where a page has one. Words of class, id and role never leave out a heading, nor an
+   element around the page's ``main``, or around its only articles. Inside ``main`` and ``article``
+   they leave out containers and lists only, and only by a whole class or id whose every part names
+   such furniture ("comment-list", but not "related work" and not "has-comments").
 2. Every other block-level subtree is hashed (tag and text, from the leaves up), and the
    hashes are counted per host: on how many pages with different content each occurs.
 3. Subtrees that recur on at least ``MIN_PAGES`` different pages are deleted, whatever the
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +56,7 @@ _BLOCK = _PROSE | {
     "fieldset", "details", "summary", "dialog", "menu", "hgroup", "search", "center",
 }
 _DROPPED = _RAW | {
-    "head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "search", "svg", "math", "canvas", "object", "audio",
+    "head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "search", "svg", "canvas", "object", "audio",
     "video", "template", "datalist", "applet", "map",
 }
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar"}
@@ -68,13 +71,31 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
            "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
-def _named_away(tag: str, attributes: str) -> bool:
-    if tag in _PLAIN or "=" not in attributes:
+# Inside an article, parts that may stand beside such a word, and words that name furniture only alone.
+_PARTS = re.compile(
+    r"(?:list|box|block|wrapper|container|section|area|bar|links?|buttons?|slot|unit|label|item|items|thread|form|posts?|stories|content|inner|\d+)"
+)
+_ALONE = {"related", "recommended", "social", "share", "sharing", "alert", "notice", "notices", "respond", "replies", "banner", "login", "nav", "menu"}
+_CONTAINERS = {"div", "section", "details", "ul", "ol", "center", "address", "fieldset", "hgroup", "span"}
+
+
+def _named_away(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether the words of class, id and role leave an element out; ``inside``: within main or article."""
+    if tag in _PLAIN or tag in _HEADINGS or "=" not in attributes or (inside and tag not in _CONTAINERS):
         return False
     for found in _WORDS.finditer(attributes):
-        for word in re.split(r"[\s_\-]+", "".join(x or "" for x in found.groups()).lower()):
-            if word in _ROLES or _NAMES.fullmatch(word):
+        value = "".join(x or "" for x in found.groups()).lower()
+        if not inside:
+            if any(word in _ROLES or _NAMES.fullmatch(word) for word in re.split(r"[\s_\-]+", value)):
                 return True
+            continue
+        names = value.split()
+        for name in names:
+            parts = [part for part in re.split(r"[_\-]+", name) if part]
+            words = [part for part in parts if part in _ROLES or _NAMES.fullmatch(part)]
+            if words and all(part in words or _PARTS.fullmatch(part) for part in parts):
+                if len(names) == 1 or not set(words) <= _ALONE:
+                    return True
     return False
 
 
@@ -91,6 +112,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         self.tags, self.parents, self.dropped = ["#"], [-1], [False]
+        self.inside, self.owners, self.count = [False], [0], Counter()  # within main or article; owner of text; open tags
         self.named: set[int] = set()
         self.kinds: set[int] = set()
         self.parts: list[list[str]] = [[]]
@@ -107,12 +129,27 @@ class Page:
             found = [e for e, tag in enumerate(self.tags) if tag == wanted and e not in self.named]
             if any(not self.dropped[e] for e in found):
                 return set()
-            lost = [set(self.above(e)) for e in found]
-            lost = [above & self.named for above in lost if not above & self.kinds]
+            by_kind = self._below(self.kinds)
+            lost = [e for e in found if not by_kind[e]]
             if lost:
-                return set().union(*lost)
+                around, seen = set(), set()
+                for e in lost:
+                    for above in self.above(e):
+                        if above in seen:
+                            break
+                        seen.add(above)
+                        if above in self.named:
+                            around.add(above)
+                return around
         return set()
 
+    def _below(self, marked: set[int]) -> list[bool]:
+        """For every element whether it or one above it is marked; parents come before children."""
+        found = [False] * len(self.tags)
+        for e, parent in enumerate(self.parents):
+            found[e] = e in marked or (parent >= 0 and found[parent])
+        return found
+
     def _flush(self) -> None:
         text = " ".join("".join(self.pending).split())
         if text:
@@ -121,25 +158,30 @@ class Page:
         self.pending = []
 
     def _open(self, tag: str, attributes: str) -> None:
-        inner = next((e for e in reversed(self.stack) if self.tags[e] in ("article", "main")), None)
+        above = self.stack[-1]
+        inside = self.inside[above]
         number = len(self.tags)
-        away = tag in _DROPPED or (tag == "header" and inner is None)
+        away = tag in _DROPPED or (tag == "header" and not inside)
         if away:
             self.kinds.add(number)
-        elif number not in self.exempt and _named_away(tag, attributes):
+        elif number not in self.exempt and _named_away(tag, attributes, inside):
             self.named.add(number)
             away = True
         self.tags.append(tag)
-        self.parents.append(self.stack[-1])
-        self.dropped.append(away or self.dropped[self.stack[-1]])
+        self.parents.append(above)
+        self.dropped.append(away or self.dropped[above])
+        self.inside.append(inside or tag in ("article", "main"))
+        self.owners.append(number if tag in _BLOCK or self.dropped[number] else self.owners[above])
         self.parts.append([])
-        self.stack.append(len(self.tags) - 1)
+        self.count[tag] += 1
+        self.stack.append(number)
 
     def _close(self) -> None:
         element = self.stack[-1]
         if self.tags[element] in _BLOCK or self.tags[element] in _DROPPED:
             self._flush()
         self.stack.pop()
+        self.count[self.tags[element]] -= 1
         self._own()
         if self.parts[element]:
             if self.tags[element] in _BLOCK:
@@ -152,9 +194,11 @@ class Page:
         self.parts[element] = []
 
     def _own(self) -> None:
-        self.owner = next((e for e in reversed(self.stack) if self.tags[e] in _BLOCK or self.dropped[e] or not e), 0)
+        self.owner = self.owners[self.stack[-1]]
 
     def _close_upto(self, names: set[str], stop: set[str]) -> None:
+        if not any(self.count[name] for name in names):
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.tags[self.stack[depth]]
             if tag in names:
@@ -215,7 +259,8 @@ class Page:
         for wanted in ("main", "article"):
             found = {e for e, tag in enumerate(self.tags) if tag == wanted and not self.dropped[e]}
             if found:
-                return {e for e in found if not any(a in found for a in self.above(self.parents[e]))}
+                within = self._below(found)
+                return {e for e in found if not within[self.parents[e]]}
         return set()
 
     def above(self, element: int):
@@ -225,19 +270,21 @@ class Page:
 
     def kept(self) -> list[tuple[str, int]]:
         """Blocks by kind and place, before templates."""
-        return [
-            (text, e) for text, e in self.blocks
-            if not self.dropped[e] and (not self.main or any(a in self.main for a in self.above(e)))
-        ]
+        within = self._below(self.main)
+        return [(text, e) for text, e in self.blocks if not self.dropped[e] and (not self.main or within[e])]
 
     def candidates(self) -> dict[int, int]:
         """Element to hash of all subtrees that may be deleted."""
-        found = {}
-        holders = {a for e in self.main for a in self.above(e)}
+        found, within, holders = {}, self._below(self.main), set()
+        for e in self.main:
+            for above in self.above(e):
+                if above in holders:
+                    break
+                holders.add(above)
         for e in range(1, len(self.tags)):
             if not self.parts[e] or self.tags[e] not in _BLOCK or e in holders or self.tags[e] in ("html", "body"):
                 continue
-            if self.tags[e] in _PROSE and any(a in self.main for a in self.above(e)):
+            if self.tags[e] in _PROSE and within[e]:
                 continue
             if self.parts[e]:
                 found[e] = self.parts[e][0]
@@ -247,8 +294,8 @@ class Page:
         return xxhash.xxh64_intdigest("\n".join(text for text, _ in self.kept()).encode("utf-8", "surrogatepass"))
 
     def text(self, templates: set[int]) -> str:
-        gone = {e for e, mark in self.candidates().items() if mark in templates} if templates else set()
-        return "\n\n".join(text for text, e in self.kept() if not gone or not any(a in gone for a in self.above(e)))
+        gone = self._below({e for e, mark in self.candidates().items() if mark in templates} if templates else set())
+        return "\n\n".join(text for text, e in self.kept() if not gone[e])
 
 
 def host_of(url: Column) -> Column:

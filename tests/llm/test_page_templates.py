@@ -26,3 +26,30 @@ def test_recurrence_does_not_depend_on_the_size_of_the_host(spark):
 ])
 def test_class_words_around_the_main_element(source, text):
     assert pages.Page(source).text(set()) == text
+
+
+@pytest.mark.parametrize("source, text", [
+    ("<article><h2 id='social'>Social history</h2><p>a</p><h2 id='comments'>Comments on the method</h2></article>",
+     "Social history\n\na\n\nComments on the method"),
+    ("<article><div class='related work'>earlier papers</div><p>a</p></article>", "earlier papers\n\na"),
+    ("<article><table class='menu'><tr><td>soup</td></tr></table></article>", "soup"),
+    ("<article><p>let <math><mi>x</mi></math> be</p></article>", "let x be"),
+    ("<article><p>a</p><div class='ad'>buy</div><div class='ad-slot clearfix'>buy</div></article>", "a"),
+    ("<article><p>a</p><ol class='comment-list'><li>first!</li></ol><section id='comments'>no</section></article>", "a"),
+    ("<article><div class='has-comments'><p>a</p></div><div class='share'>tweet</div></article>", "a"),
+    ("<div class='notice'>cookies</div><h1 class='menu'>Menu</h1><p>a</p>", "Menu\n\na"),
+])
+def test_words_leave_out_furniture_only(source, text):
+    assert pages.Page(source).text(set()) == text
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    start = time.process_time()
+    depth = 20_000
+    page = pages.Page("".join(f"<div>{n}" for n in range(depth)))
+    assert page.text({1}).count("\n\n") == depth - 1
+    main = pages.Page("<main>" + "<div><p>x" * 5_000 + "</main>")
+    assert main.text({1}).count("x") == 5_000
+    assert time.process_time() - start < 8
