@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from plaudit.llm.common import attach, columns_of, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-FILLS = 3
 _BITS = 14  # of the key for each histogram level; two levels and then exact keys
 _KEY_BITS = 42
 
@@ -80,8 +79,8 @@ def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def _prefix(rows: DataFrame, budget: DataFrame) -> DataFrame:
     """Per source the last key whose running sum of sizes still fits into ``room``.
 
-    ``rows``: source, key, size. ``budget``: source, room. Returns source, cut, used;
-    cut is null where not even the first key fits.
+    ``rows``: source, key, size. ``budget``: source, room. Returns source, cut, used and stop;
+    cut is null where not even the first key fits, stop is the first key that does not.
     """
     state = budget.select("source", "room", F.lit(0).cast("long").alias("head"), F.lit(0).cast("long").alias("used"),
                           F.lit(None).cast("long").alias("cut"))
@@ -103,11 +102,10 @@ def _prefix(rows: DataFrame, budget: DataFrame) -> DataFrame:
             F.coalesce(F.max(F.when(fits, F.col("running"))), F.first("used")).alias("used"),
             F.coalesce(F.max(F.when(fits, last)), F.first("cut")).alias("cut"),
         ))
-        if shift:
-            # A source whose rows all fit is done: no head matches it on later levels.
-            done = state if shift == _KEY_BITS - _BITS else done.unionByName(state)
-    done = done.unionByName(state)
-    return done.groupBy("source").agg(F.max("cut").alias("cut"), F.max("used").alias("used"))
+        # A source whose rows all fit is done: no head matches it on later levels.
+        level = state.withColumn("stop", F.lit(None).cast("long") if shift else F.col("head"))
+        done = level if shift == _KEY_BITS - _BITS else done.unionByName(level)
+    return done.groupBy("source").agg(F.max("cut").alias("cut"), F.max("used").alias("used"), F.max("stop").alias("stop"))
 
 
 def plan_mix(sizes: DataFrame, weights: Sequence[float], max_repeats: int, seed: int) -> DataFrame:
@@ -115,7 +113,8 @@ def plan_mix(sizes: DataFrame, weights: Sequence[float], max_repeats: int, seed:
 
     Columns: source, source_size, target, whole (certain copies), share (inclusion
     probability of one more) and steps, an array of (cut, limit): documents of at
-    most ``limit`` words with keys after the previous cut and up to ``cut``.
+    most ``limit`` words with keys after the previous cut and up to ``cut``. Rounds go on
+    until no further document fits; each begins behind the keys of the one before.
     """
     targets = source_targets(sizes, weights, max_repeats)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -127,20 +126,24 @@ def plan_mix(sizes: DataFrame, weights: Sequence[float], max_repeats: int, seed:
     )
     keyed = _planned(sizes, plan.select("source", "share")).filter((F.col("share") > 0) & (F.col("size") > 0))
     keyed = stage(keyed.select("source", "size", _key(F.col("doc_id"), F.col("text_key"), F.col("share"), seed).alias("key")))
-    for _ in range(1 + FILLS):
+    while True:
         known = plan.select("source", "room", F.coalesce(F.try_element_at("steps", F.lit(-1))["cut"], F.lit(-1)).alias("from"))
         left = _planned(keyed, known.withColumnRenamed("room", "room_now"))
         left = left.filter((F.col("key") > F.col("from")) & (F.col("size") <= F.col("room_now")))
-        found = _prefix(left.select("source", "size", "key"), plan.select("source", "room"))
-        named = found.select(F.col("source").alias("f_source"), "cut", "used")
-        step = F.struct(F.col("cut"), F.col("room").alias("limit"))
+        found = stage(_prefix(left.select("source", "size", "key"), plan.select("source", "room")))
+        if not found.limit(1).count():
+            return plan.drop("room")
+        named = found.select(F.col("source").alias("f_source"), "cut", "used", "stop")
+        # Rows of one key that do not fit together are passed over.
+        step = F.when(F.col("cut").isNotNull(), F.struct(F.col("cut"), F.col("room").alias("limit"))).otherwise(
+            F.struct(F.col("stop").alias("cut"), F.lit(-1).cast("long").alias("limit"))
+        )
         plan = stage(
             plan.join(named, F.col("source").eqNullSafe(F.col("f_source")), "left")
-            .withColumn("steps", F.when(F.col("cut").isNotNull(), F.concat("steps", F.array(step))).otherwise(F.col("steps")))
+            .withColumn("steps", F.when(F.col("used").isNotNull(), F.concat("steps", F.array(step))).otherwise(F.col("steps")))
             .withColumn("room", F.col("room") - F.when(F.col("cut").isNotNull(), F.col("used")).otherwise(0))
-            .drop("f_source", "cut", "used")
+            .drop("f_source", "cut", "used", "stop")
         )
-    return plan.drop("room")
 
 
 def _copies(size: Column, key: Column) -> Column:
