@@ -26,11 +26,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaudit.llm.common import attach, columns_of, stage
 
+LAST_ROWS = 200_000  # rows left in all sources, up to which a task finishes its source
 WORD = r"[^\x20\x09-\x0D]+"
 _BITS = 14  # of the key for each histogram level; two levels and then exact keys
 _KEY_BITS = 42
@@ -108,13 +111,55 @@ def _prefix(rows: DataFrame, budget: DataFrame) -> DataFrame:
     return done.groupBy("source").agg(F.max("cut").alias("cut"), F.max("used").alias("used"), F.max("stop").alias("stop"))
 
 
+def last_steps(key: np.ndarray, size: np.ndarray, room: int) -> list[tuple[int, int]]:
+    """The steps (cut, limit) that the rounds would take over all rows left of a source."""
+    key, at = np.unique(key, return_inverse=True)
+    rows = np.stack((at, size), axis=1)
+    steps: list[tuple[int, int]] = []
+    while True:
+        rows = rows[rows[:, 1] <= room]
+        if not len(rows):
+            return steps
+        sums = np.bincount(rows[:, 0], weights=rows[:, 1], minlength=len(key)).astype(np.int64)
+        upto = np.cumsum(sums)
+        over = np.flatnonzero((upto > room) & (sums > 0))
+        if not len(over):
+            return [*steps, (int(key[rows[:, 0].max()]), room)]
+        stop = int(over[0])
+        taken = int(upto[stop] - sums[stop])
+        if taken:
+            last = int(rows[rows[:, 0] < stop, 0].max())
+            steps.append((int(key[last]), room))
+            room -= taken
+        else:
+            last = stop  # rows of one key that do not fit together are passed over
+            steps.append((int(key[last]), -1))
+        rows = rows[rows[:, 0] > last]
+
+
+def _with_last(plan: DataFrame, left: DataFrame) -> DataFrame:
+    """The plan with its last steps, from at most ``LAST_ROWS`` rows of all sources."""
+    kind = dict(left.dtypes)["source"]
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        steps = last_steps(rows["key"].to_numpy(), rows["size"].to_numpy(), int(rows["room_now"].iloc[0]))
+        return pd.DataFrame({"f_source": rows["source"].iloc[:1], "more": [[{"cut": c, "limit": m} for c, m in steps]]})
+
+    schema = f"f_source {kind}, more array<struct<cut:bigint,limit:bigint>>"
+    named = stage(left.groupBy("source").applyInPandas(work, schema))
+    steps = F.concat("steps", F.coalesce("more", F.array().cast("array<struct<cut:bigint,limit:bigint>>")))
+    joined = plan.join(named, F.col("source").eqNullSafe(F.col("f_source")), "left")
+    return stage(joined.withColumn("steps", steps).drop("f_source", "more", "room"))
+
+
 def plan_mix(sizes: DataFrame, weights: Sequence[float], max_repeats: int, seed: int) -> DataFrame:
     """Cut-offs for each source from ``sizes`` (doc_id, source, size, text_key).
 
     Columns: source, source_size, target, whole (certain copies), share (inclusion
     probability of one more) and steps, an array of (cut, limit): documents of at
     most ``limit`` words with keys after the previous cut and up to ``cut``. Rounds go on
-    until no further document fits; each begins behind the keys of the one before.
+    until no further document fits; each begins behind the keys of the one before. Once few
+    rows are left, a task finishes the rounds of its source.
     """
     targets = source_targets(sizes, weights, max_repeats)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -130,9 +175,13 @@ def plan_mix(sizes: DataFrame, weights: Sequence[float], max_repeats: int, seed:
         known = plan.select("source", "room", F.coalesce(F.try_element_at("steps", F.lit(-1))["cut"], F.lit(-1)).alias("from"))
         left = _planned(keyed, known.withColumnRenamed("room", "room_now"))
         left = left.filter((F.col("key") > F.col("from")) & (F.col("size") <= F.col("room_now")))
-        found = stage(_prefix(left.select("source", "size", "key"), plan.select("source", "room")))
-        if not found.limit(1).count():
+        left = stage(left.select("source", "size", "key", "room_now"))
+        rows = left.count()
+        if not rows:
             return plan.drop("room")
+        if rows <= LAST_ROWS:
+            return _with_last(plan, left)
+        found = stage(_prefix(left.select("source", "size", "key"), plan.select("source", "room")))
         named = found.select(F.col("source").alias("f_source"), "cut", "used", "stop")
         # Rows of one key that do not fit together are passed over.
         step = F.when(F.col("cut").isNotNull(), F.struct(F.col("cut"), F.col("room").alias("limit"))).otherwise(

@@ -290,3 +290,26 @@ def test_host_rules_of_odd_rows(spark):
 def test_host_rules_run_no_python(spark):
     plan = hostrules.judge(edge_docs(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_last_steps_equal_the_rounds(spark, monkeypatch):
+    """Whether rounds run over the cluster to the end or a task finishes them, the same documents are taken; none left fits."""
+    draw = random.Random(9)
+    docs = [(i, " ".join(["w"] * draw.choice([1, 2, 3, 7, 40, 90, 200])), draw.choice(["a", "b", "c", None])) for i in range(160)]
+    docs += [(500, " ".join(["x"] * 30), "a")] * 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sizes = mixing.document_sizes(frame)
+    taken = []
+    for rows in (200_000, 0):
+        monkeypatch.setattr(mixing, "LAST_ROWS", rows)
+        plan = mixing.plan_mix(sizes, (5, 2, 1), 3, 42)
+        taken.append(Counter(tuple(r) for r in mixing.mix_sizes(sizes, plan, 42).collect()))
+    assert taken[0] == taken[1]
+    per = {}
+    for (_, size, source_size, target, words), n in taken[0].items():
+        held = per.setdefault((source_size, target), [0, []])
+        held[0] += words * n
+        if n == 1 and size and words < size * (1 + target // source_size) - 1e-9:
+            held[1].append(size)
+    for (_, target), (words, spare) in per.items():
+        assert words <= target + 1e-9 and all(words + size > target for size in spare)
