@@ -20,22 +20,22 @@ def _tokens(column: str = "review_text"):
     return tx.clean_tokens(F.col(column), tx.english_stop_words())
 
 
-def _postings(spark, sf):
-    return tf.posting_rows(reviews(spark, sf), _tokens(), 2)
+def _statistics(spark, sf):
+    return tf.corpus_terms(reviews(spark, sf), _tokens(), 2)
 
 
 def q_term_counts(spark, sf):
     """Corpus frequency and review frequency of every 1- and 2-gram."""
-    return tf.term_statistics(_postings(spark, sf))
+    return _statistics(spark, sf)
 
 
 def q_vocab_topk(spark, sf):
-    return tf.top_terms(tf.term_statistics(_postings(spark, sf)), MAX_FEATURES)
+    return tf.top_terms(_statistics(spark, sf), MAX_FEATURES)
 
 
 def _weights(spark, sf, postings, sublinear):
     data = reviews(spark, sf)
-    vocabulary = tf.top_terms(tf.term_statistics(_postings(spark, sf)), MAX_FEATURES)
+    vocabulary = tf.top_terms(_statistics(spark, sf), MAX_FEATURES)
     weights = tf.weigh_postings(postings, vocabulary, F.lit(data.count()), sublinear)
     return weights.withColumn("weight", F.round("weight", 6))
 

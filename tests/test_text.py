@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plaudit.functions import text as tx
 from plaudit.functions.rounding import rounded_ratio
 from plaudit.functions.signals import with_signals
+from plaudit.operators import tfidf as tf
 from plaudit.operators.lemmas import lemmatise
 from plaudit.operators.preprocess import process_reviews
 from plaudit.rules import SIGNAL_COLUMNS
@@ -83,3 +84,27 @@ def test_lemma_table_keeps_order_and_empty_rows(spark):
 
 def test_latin1(spark):
     assert table(spark, ["aé→ü😀z"]).select(tx.latin1_only(F.col("review_text"))).first()[0] == "aéüz"
+
+
+def test_corpus_terms_equal_term_rows(spark, monkeypatch):
+    """Counting by batch gives what term rows give, with few words at once, null, empty and repeated reviews; no rows of terms."""
+    monkeypatch.setattr(tf, "SLICE_WORDS", 4)
+    texts = ["a b a b a", "", None, "b", "c a b", "c a b", "d d d d d d d", "é ü é"]
+    rows = small_table(spark, {"review_id": [0, 1, 2, 3, 4, 4, 5, 6], "t": texts}, "review_id int, t string")
+    tokens = F.filter(F.split("t", " "), lambda w: w != "")
+    for n in (1, 2, 3):
+        wanted = tf.term_statistics(tf.posting_rows(rows, tokens, n)).collect()
+        found = tf.corpus_terms(rows, tokens, n)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted))
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lemmatise_keeps_order_and_sends_words_without_structs(spark):
+    """Words come back in order beyond nine places, and the collected words are strings."""
+    rows = small_table(spark, {"review_id": [1, 2], "review_text": [" ".join(f"w{i}" for i in range(25)), ""]}, "review_id int, review_text string")
+    pairs = small_table(spark, {"form": ["w3", "w12"], "lemma": ["x", ""]}, "form string, lemma string")
+    found = lemmatise(rows, F.filter(F.split("review_text", " "), lambda w: w != ""), pairs)
+    words = [f"w{i}" for i in range(25)]
+    words[3], words[12] = "x", ""
+    assert {r["review_id"]: r["cleaned_review"] for r in found.collect()} == {1: " ".join(words), 2: ""}
+    assert "struct<pos" not in found._jdf.queryExecution().executedPlan().toString() and "struct(pos" not in found._jdf.queryExecution().executedPlan().toString()
