@@ -29,8 +29,9 @@ def lemmatise(
     # The null row keeps reviews without words.
     rows = df.select(id_column, F.posexplode_outer(F.concat(F.array(F.lit(None).cast("string")), tokens)).alias("pos", "token"))
     joined = lookup.join(rows, F.col("token"), {"lemma": "_lemma"}, F.struct(id_column, "pos"))
-    word = F.struct("pos", F.coalesce("_lemma", "token").alias("word"))
-    in_order = F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"])
+    # Ten digits before the word sort like its place, and take about half the bytes of a struct of both.
+    word = F.concat(F.lpad(F.col("pos").cast("string"), 10, "0"), F.coalesce("_lemma", "token"))
+    in_order = F.transform(F.array_sort(F.collect_list(word)), lambda w: F.substring(w, F.lit(11), F.length(w)))
     return joined.groupBy(id_column).agg(F.array_join(in_order, " ").alias(output))
 
 
