@@ -148,16 +148,15 @@ def word_ngrams(tokens: Column, max_n: int = 2) -> Column:
     """All 1..``max_n``-grams, joined by a blank."""
     grams = [tokens]
     for n in range(2, max_n + 1):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-        joined = F.transform(starts, _gram_at(tokens, n))
+        # Every word with its n-1 followers, shift by shift.
+        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        joined = F.slice(tokens, 1, count)
+        for k in range(1, n):
+            joined = F.zip_with(joined, F.slice(tokens, k + 1, count), lambda a, b: F.concat_ws(" ", a, b))
         grams.append(F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>")))
     return F.concat(*grams) if len(grams) > 1 else tokens
 
 
-def _gram_at(tokens: Column, n: int):
-    return lambda i: F.concat_ws(" ", *[F.get(tokens, i + (k - 1)) for k in range(n)])
-
-
 def snippet(text: Column, chars: int) -> Column:
     return F.substring(text, 1, chars)
 

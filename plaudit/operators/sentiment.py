@@ -368,10 +368,13 @@ def score_polarity(
     """(id, polarity, subjectivity): the mean over matched words after the rules, 0.0 without any."""
     lookup = Lookup(table if table is not None else seed_polarity(reviews.sparkSession), "token")
     words = F.transform(spoken_words(F.coalesce(F.col(text_column), F.lit(""))), lambda w: F.lower(w))
-    placed = F.transform("_l", lambda w, i: F.struct(w.alias("tok"), F.get("_l", i - 1).alias("one"), F.get("_l", i - 2).alias("two")))
-    listed = reviews.select(id_column, words.alias("_l")).select(id_column, placed.alias("_l"))
+    # A word gets its two predecessors only if it may be a hit.
+    placed = "struct(w AS tok, get(_l, i - 1) AS one, get(_l, i - 2) AS two)"
     if lookup.listed is not None:
-        listed = listed.withColumn("_l", F.expr(f"filter(_l, w -> {lookup.holds('w.tok')})"))
+        placed = f"IF({lookup.holds('w')}, {placed}, NULL)"
+    listed = reviews.select(id_column, words.alias("_l")).select(id_column, F.expr(f"transform(_l, (w, i) -> {placed})").alias("_l"))
+    if lookup.listed is not None:
+        listed = listed.withColumn("_l", F.filter("_l", lambda w: w.isNotNull()))
     # The leading null is the header row that keeps reviews without a match.
     nothing = F.array(F.lit(None).cast("struct<tok:string,one:string,two:string>"))
     rows = listed.select(id_column, F.posexplode_outer(F.concat(nothing, F.col("_l"))).alias("pos", "w")).select(id_column, "pos", "w.*")
