@@ -18,9 +18,11 @@ from plaudit.operators import themes as th
 from plaudit.operators import tfidf as tf
 from plaudit.operators.model import (
     LEGACY_CONFIG,
+    WORDS,
     AuthenticityModel,
     TrainConfig,
     cross_validate,
+    feature_tokens,
     fit_features,
     fit_vote,
 )
@@ -30,6 +32,7 @@ from plaudit.operators.oversample import balance_classes
 from plaudit.operators.splits import stratified_folds
 from plaudit.plans.scoring import analyse_feedback, feedback_rows, score_batch
 from plaudit.plans.training import feature_table, train
+from plaudit.session import staged
 from plaudit.operators.report import result_summary, signed_score
 from plaudit.rules import SIGNAL_COLUMNS
 
@@ -40,7 +43,8 @@ SMALL = TRAINING
 
 
 def _features(spark, sf, config=TRAINING):
-    data = labelled(spark, sf)
+    # Reviews and labels are joined, and texts cleaned, once.
+    data = staged(labelled(spark, sf).withColumn(WORDS, feature_tokens(config)))
     model = fit_features(data, config)
     return model, feature_table(data, model)
 
@@ -143,9 +147,10 @@ def q_topics_legacy(spark, sf):
 
 def q_centroids(spark, sf):
     """Mean term weight per document source, from long-form weights."""
-    data, tokens = reviews(spark, sf), th.theme_tokens(THEMES)
+    # Texts are read and cleaned once.
+    data, tokens = staged(reviews(spark, sf).select("review_id", th.theme_tokens(THEMES).alias("words"))), F.col("words")
     vocabulary = tf.fit_vocabulary(data, tokens, THEMES.max_n, THEMES.max_features)
-    weights = tf.tfidf_rows(data, tokens, THEMES.max_n, vocabulary)
+    weights = tf.tfidf_rows(data, tokens, THEMES.max_n, vocabulary, dealt=True)
     members = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.col("source").alias("cluster"))
     found = th.centroid_terms(weights, members)
     return found.select("cluster", "term", F.round("weight", 6).alias("weight"))

@@ -80,15 +80,15 @@ class FeatureModel:
     vocabulary: tfidf.Vocabulary
     scaler: StandardScalerModel | None = field(default=None, compare=False)
 
-    def _tokens(self) -> Column:
-        return feature_tokens(self.config)
+    def _tokens(self, reviews: DataFrame) -> Column:
+        return words_of(reviews, self.config)
 
     def transform(self, reviews: DataFrame) -> DataFrame:
         """Add ``features`` (and the signal columns). Map-only."""
         signals = with_signals(reviews) if self.config.signals else reviews
         if not self.config.signals:
-            return tfidf.tfidf_vectors(signals, self._tokens(), self.config.max_n, self.vocabulary, "features")
-        vectors = tfidf.tfidf_vectors(signals, self._tokens(), self.config.max_n, self.vocabulary, "_tfidf")
+            return tfidf.tfidf_vectors(signals, self._tokens(reviews), self.config.max_n, self.vocabulary, "features").drop(WORDS)
+        vectors = tfidf.tfidf_vectors(signals, self._tokens(reviews), self.config.max_n, self.vocabulary, "_tfidf").drop(WORDS)
         part = "_signals" if self.scaler else None
         if part:
             raw = VectorAssembler(inputCols=list(SIGNAL_COLUMNS), outputCol="_raw")
@@ -98,6 +98,14 @@ class FeatureModel:
         return out.drop("_tfidf", *([part] if part else []))
 
 
+WORDS = "_cleaned_words"  # a column of ``feature_tokens`` taken before
+
+
+def words_of(reviews: DataFrame, config: TrainConfig) -> Column:
+    """The words of ``reviews``: those in the column ``WORDS`` if it is there."""
+    return F.col(WORDS) if WORDS in reviews.columns else feature_tokens(config)
+
+
 def feature_tokens(config: TrainConfig) -> Column:
     text = F.col("review_text")
     if config.cleaned:
@@ -108,7 +116,7 @@ def feature_tokens(config: TrainConfig) -> Column:
 
 def fit_features(reviews: DataFrame, config: TrainConfig) -> FeatureModel:
     vocabulary = tfidf.fit_vocabulary(
-        reviews, feature_tokens(config), config.max_n, config.max_features, config.sublinear
+        reviews, words_of(reviews, config), config.max_n, config.max_features, config.sublinear
     )
     scaler = None
     if config.signals and config.scale_signals:
