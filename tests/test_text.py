@@ -4,6 +4,7 @@ import string
 
 from pyspark.sql import functions as F
 
+from plaudit.functions import signals as sg
 from plaudit.functions import text as tx
 from plaudit.functions.rounding import rounded_ratio
 from plaudit.functions.signals import with_signals
@@ -52,6 +53,36 @@ def test_signals_equal_python(spark):
         assert got[i] == expected_signals(text), (i, got[i], expected_signals(text))
 
 
+def test_signals_count_without_classes_over_the_text(spark, monkeypatch):
+    monkeypatch.setattr(sg, "SLICE_BYTES", 16)
+    odd = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000] + ["\U0001d400", "\U0001f600", "\U0001d7ce"]
+    texts = [f"{c}a {c}{c}!" for c in odd] + ["".join(odd), None, "", "\u3000\x85"]
+    rows = table(spark, texts)
+    got = with_signals(rows)
+    # Every class by its own pass over the text, as Java sees it.
+    text, classes = F.col("review_text"), {"caps_ratio": sg.UPPER_CLASS, "punctuation_density": r"\p{Punct}", "digit_ratio": sg.DIGIT_CLASS}
+    spaces = sg._count(text, f"[{tx.SPACE_CLASS}]")
+    counts = rows.select(
+        "review_id", tx.is_blank(text).alias("blank"), F.length(text).cast("bigint").alias("n"),
+        (F.length(text) - spaces).alias("dark"), *[sg._count(text, f"[{c}]").alias(name) for name, c in classes.items()],
+        F.size(F.filter(F.split(text, f"[{tx.SPACE_CLASS}]+"), lambda w: w != "")).cast("bigint").alias("words"),
+    )
+    shares = {name: rounded_ratio(name, "n") for name in classes} | {"avg_word_length": rounded_ratio("dark", "words")}
+    shares["word_count"] = F.col("words").cast("double")
+    wanted = counts.select("review_id", *[F.when(F.col("blank"), 0.0).otherwise(c).alias(name) for name, c in shares.items()])
+    assert sorted(got.select(*wanted.columns).collect()) == sorted(wanted.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(review_text") == 1  # takes the ASCII characters away
+
+
+def test_words_split_as_the_class_says(spark):
+    texts = [f"a{chr(c)}b" for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    rows = table(spark, texts)
+    plain = F.filter(F.split("review_text", f"[{tx.SPACE_CLASS}]+"), lambda w: w != "")
+    assert not rows.filter(tx.split_words(F.col("review_text")) != plain).count()
+    assert rows.filter(F.size(tx.split_words(F.col("review_text"))) == 2).count() == sum(len(t.split()) == 2 for t in texts)
+
+
 def test_clean_text(spark):
     texts = [
         "Read MORE at http://x.example/a?b=1 or www.y.example <b>now</b>!",
