@@ -53,3 +53,10 @@ def test_batch_job_moves_no_text(spark):
     # The local session deals a one-row-group file over the cores; nothing else may move.
     assert plan.count("Exchange") == plan.count("Exchange RoundRobinPartitioning") and plan.count("Scan parquet") == 1
     assert "Join" not in plan
+
+
+def test_steps_make_numbers_only(spark):
+    """No step builds the structs of all hits again."""
+    found = sentiment.sentiment_in_row(reviews(spark, SF), opinion.lexicon(spark), opinion.RULES)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") > len(sentiment._steps(opinion.RULES))
